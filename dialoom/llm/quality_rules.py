@@ -75,21 +75,27 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         "repeats": count(again) * 1000 // (n_words + 10),
         "digits": count((kind & 4) > 0) * 1000 // (chars + 50),
         "word_size": (chars - n_words + 51) * 100 // (n_words + 10),
+        "chars": chars,
+        "words": n_words,
+        "lines": count(data == 10),
     }
 
 
-def _measure(batches):
-    for batch in batches:
-        for part in slices(batch, "__text", 1 << 20):
-            got = statistics(part.column("__text"))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(got[s], pa.int64()) for s in STATS]], names=[*part.schema.names[1:], *STATS])
+def _measure(names):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text", 1 << 20):
+                got = statistics(part.column("__text"))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(got[s], pa.int64()) for s in names]], names=[*part.schema.names[1:], *names])
 
+    return run
 
-def measured(docs: DataFrame, text: Column, *carry: Column) -> DataFrame:
+
+def measured(docs: DataFrame, text: Column, *carry: Column, names=tuple(STATS)) -> DataFrame:
     """The carried columns and a column for each statistic of the text."""
     seen = docs.select(text.alias("__text"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema[1:])
-    return seen.mapInArrow(_measure, f"{schema}, " + ", ".join(f"{s} long" for s in STATS))
+    return seen.mapInArrow(_measure(names), f"{schema}, " + ", ".join(f"{s} long" for s in names))
 
 
 def bucket(value: Column) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, packing, quality_rules, toxicity
+from . import ann, bpe, classifier, html_text, line_dedup, lm, near_dedup, packing, quality_rules, toxicity
 from .common import table
 
 LINE_SQL = r"""
@@ -33,17 +33,40 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.conversation_examples(table(spark, sf_dir, "conversations")))
 
 
+def op4_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.corpus_perplexities(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_packing, op5_toxicity, op9_minhash_near_dedup, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_quality_rules, op3_packing, op4_permutation_ann, op5_toxicity, op6_bpe, op7_kneser_ney, op8_html_extraction, op9_minhash_near_dedup, op10_quality_classifier, pipeline)
+}
 SQL = {"op1_line_dedup": LINE_SQL, "op2_quality_rules": quality_rules.SQL}
