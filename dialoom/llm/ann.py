@@ -197,7 +197,8 @@ def neighbours(vectors: DataFrame, *, k: int = K, id_col: str = "vec_id", vec_co
     # A pivot with many queries is served in lots, each with a copy of its file, so that no task grows with a dense region.
     lots = cut(queries.groupBy("pivot").agg(F.ceil(F.count("*") / LOT).alias("lots")))
     lots = F.broadcast(lots)  # one row a pivot: of the size of the pivots that the driver holds anyway
-    queries = queries.join(lots, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("lots")).alias("lot"), "id", "v", "order")
+    # Both sides come from one table: the queries' columns get identities of their own.
+    queries = queries.join(lots, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("lots")).alias("lot"), *[F.col(c).alias(c) for c in ("id", "v", "order")])
     posted = posted.join(lots, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "id", "v", "order")
     met = posted.groupBy("pivot", "lot").cogroup(queries.groupBy("pivot", "lot")).applyInArrow(_visit(k, m, share), f"query long, best {_LIST_SQL}")
     return _merged(met, k).select(F.col("query").alias("vec_id"), F.posexplode("best").alias("rank", "b")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("neighbour"), F.round(-F.col("b.far"), 5).alias("similarity"))
