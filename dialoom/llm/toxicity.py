@@ -8,8 +8,8 @@ target, negation, reported speech, other), which pass a cascade of transducers t
     threat     a threat with a target within four words leaves it as an aimed threat
     target     an insult and a target in the same clause, in either order, add the weight of aiming
 
-A clause's score is the weight of its path. The document's score is the sum over its matched clauses;
-it is toxic from `threshold` on, so that one insult without a target isn't enough, nor are any number of negated threats.
+A clause's score is the weight of its path. The document's score is the sum over its matched clauses, less
+an allowance for stems that also occur by chance; it is toxic from `threshold` on, so that one insult without a target isn't enough, nor are any number of negated threats.
 
 Insults are a seed list in four languages, and terms and stems learnt from labelled documents by their likelihood ratio.
 """
@@ -31,6 +31,11 @@ THRESHOLD = 1.4
 SAMPLE = {1: 6_000, 0: 18_000}
 #: Nats that a term's occurrences must be worth against chance.
 EVIDENCE = 20.0
+#: Times as frequent that a stem must be among the words of toxic documents.
+RATIO = 8.0
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
+#: Weight that is taken off a document for each match of a stem that chance alone would give in its length.
+ALLOWANCE = 8.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATE, REPORT = range(6)
 INSULT_N, THREAT_N, INSULT_R, THREAT_R, AIMED, AIMED_N, AIMED_R = range(6, 13)
@@ -132,7 +137,7 @@ def clause_score(clause: str, insults: dict[str, float], stems: dict[str, float]
         w = m.group().replace("’", "'")
         strength = insults.get(w)
         if strength is None and stems:
-            strength = next((stems[w[:n]] for n in (4, 5, 6) if len(w) > n and w[:n] in stems), None)
+            strength = next((stems[w[:n]] for n in STEM_LENGTHS if w[:n] in stems), None)
         c = INSULT if strength is not None else _CLASSES.get(w, OTHER)
         hits += c in (INSULT, THREAT)
         score += WEIGHT[state][c] * (strength if c == INSULT else 1.0)
@@ -143,17 +148,17 @@ def clause_score(clause: str, insults: dict[str, float], stems: dict[str, float]
 class Matcher:
     """Finds the clauses that hold an insult or a threat with an Aho-Corasick automaton, and scores only those."""
 
-    def __init__(self, insults: dict[str, float], stems: dict[str, float]):
+    def __init__(self, insults: dict[str, float], stems: dict[str, float], noise: float = 0.0):
         import ahocorasick
 
-        self.insults, self.stems = insults, stems
+        self.insults, self.stems, self.noise = insults, stems, noise
         self.machine = ahocorasick.Automaton()
         for w in {*insults, *stems, *WORDS[THREAT].split()}:
             self.machine.add_word(w, len(w))
         self.machine.make_automaton()
 
     def score(self, text: str) -> tuple[float, int]:
-        """(sum of the clauses' scores, number of matched clauses) of a whole text."""
+        """(sum of the clauses' scores, less what chance allows a text of its length; number of matched clauses) of a whole text."""
         low = text.lower()
         total, matched, done = 0.0, 0, -1
         for end, n in self.machine.iter(low):
@@ -170,58 +175,63 @@ class Matcher:
                 total += score
                 matched += 1
             done = right
-        return round(total, 4), matched
+        return round(max(0.0, total - ALLOWANCE * self.noise * len(low)), 4), matched
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: dict | None = None, evidence: float = EVIDENCE) -> dict[str, tuple[dict, dict]]:
-    """{language: (terms, stems)} with strengths up to 1, from labelled documents.
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: dict | None = None, evidence: float = EVIDENCE) -> dict[str, tuple[dict, dict, float]]:
+    """{language: (terms, stems, noise)} with strengths up to 1, from labelled documents.
 
     At most `sample[1]` toxic and `sample[0]` other labelled documents count, chosen by the hash of their id.
     Of documents that share the least hash of their word triples (copies), one counts. A term must occur in toxic
-    documents so often that chance is excluded by `evidence` nats, and in next to no others. A stem of 4 to 6 letters
-    counts likewise if five or more different words have it.
+    documents so often that chance is excluded by `evidence` nats, and in next to no others. A stem, by which five or more
+    words begin, must be RATIO times as frequent among the words of toxic documents; it also occurs by chance, as
+    often as `noise` says: matches a character in documents that aren't toxic.
     """
     sample = sample or SAMPLE
     spark = docs.sparkSession
-    mark = labels.select(F.col(id_col).cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").dropDuplicates(["i"])
+    mark = labels.select(F.col(id_col).cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     parts = [mark.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n) for y, n in sample.items()]
     chosen = parts[0].unionByName(parts[1])  # bounded by `sample`, so small enough to broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t")).where("t is not null")
     ws = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
-    got = texts.join(F.broadcast(chosen), "i").select("lang", "y", "i", ws.alias("ws"))
+    got = texts.join(F.broadcast(chosen), "i").select("lang", "y", "i", F.length("t").alias("chars"), ws.alias("ws"))
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda k: F.xxhash64(F.slice("ws", k, 3)))
-    got = got.withColumn("sig", F.array_min(triples)).groupBy("lang", "sig").agg(F.min_by(F.struct("y", "ws"), "i").alias("d")).select("lang", "d.y", F.array_distinct("d.ws").alias("ws"))
+    got = got.withColumn("sig", F.array_min(triples)).groupBy("lang", "sig").agg(F.min_by(F.struct("y", "chars", "ws"), "i").alias("d")).select("lang", "d.y", "d.chars", F.array_distinct("d.ws").alias("ws"))
     got = cut(got)
-    totals = {r["lang"]: (r["pos"], r["neg"]) for r in got.groupBy("lang").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()}
-    seen = got.select("lang", "y", F.explode("ws").alias("w")).groupBy("lang", "w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where("pos > 0 or neg > 1")
-    seen = cut(seen)
-    weight = F.create_map(*[x for k, (p, n) in totals.items() for x in (F.lit(k), F.lit(math.log((p + n) / p) if p else 0.0))] or [F.lit(""), F.lit(0.0)])[F.col("lang")]
-    pure = lambda df: df.where((F.col("pos") * weight >= evidence) & (F.col("neg") <= 0.02 * F.col("pos")))
-    terms = pure(seen).select("lang", "w", "pos").collect()
-    stems = []
-    for n in (4, 5, 6):
-        by = seen.where(F.length("w") > n).groupBy("lang", F.substring("w", 1, n).alias("w")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") > 0).cast("int")).alias("kinds"))
-        stems += pure(by.where("kinds >= 5")).select("lang", "w", "pos").collect()
-    out: dict[str, tuple[dict, dict]] = {k: ({}, {}) for k in totals}
-    for rows, k in ((terms, 0), (stems, 1)):
-        for r in rows:
-            if len(r["w"]) > 3:
-                out[r["lang"]][k][r["w"]] = 1.0
+    of = lambda y, x: F.coalesce(F.sum(F.when(F.col("y") == y, x)), F.lit(0))
+    totals = {r["lang"]: r for r in got.groupBy("lang").agg(of(1, F.lit(1)).alias("pos"), of(0, F.lit(1)).alias("neg"), of(1, F.size("ws")).alias("pos_words"), of(0, F.size("ws")).alias("neg_words"), of(0, F.col("chars")).alias("chars")).collect()}
+    out: dict[str, tuple[dict, dict, float]] = {k: ({}, {}, 0.0) for k in totals}
+    if not any(r["pos"] for r in totals.values()):
+        return out
+    by_lang = lambda f: F.create_map(*[x for k, r in totals.items() for x in (F.lit(k), F.lit(float(f(r))))])[F.col("lang")]
+    seen = cut(got.select("lang", "y", F.explode("ws").alias("w")).groupBy("lang", "w").agg(of(1, F.lit(1)).alias("pos"), of(0, F.lit(1)).alias("neg")))
+    worth = by_lang(lambda r: math.log((r["pos"] + r["neg"]) / r["pos"]) if r["pos"] else 0.0)
+    for r in seen.where((F.col("pos") * worth >= evidence) & (F.col("neg") <= 0.02 * F.col("pos")) & (F.length("w") > 3)).select("lang", "w").collect():
+        out[r["lang"]][0][r["w"]] = 1.0
+    # Stems: rates among the (distinct) words of a document, half a word added.
+    lengths = F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("n")
+    heads = seen.select("lang", lengths, "w", "pos", "neg").where("length(w) >= n").groupBy("lang", F.expr("substring(w, 1, n)").alias("w"))
+    stems = heads.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("kinds")).where("kinds >= 5")
+    ratio = F.col("pos") * by_lang(lambda r: r["neg_words"] + 1) / ((F.col("neg") + 0.5) * by_lang(lambda r: r["pos_words"] + 1))
+    for r in stems.where((ratio >= RATIO) & (F.col("pos") * F.log(ratio) >= evidence)).select("lang", "w", "neg").orderBy(F.length("w"), "w").collect():
+        terms, kept, noise = out[r["lang"]]
+        if not any(r["w"].startswith(k) for k in kept):  # else a shorter stem holds it
+            kept[r["w"]] = 1.0
+            out[r["lang"]] = terms, kept, noise + r["neg"] / max(1, totals[r["lang"]]["chars"])
     return out
 
 
-def lexicon(learnt: dict[str, tuple[dict, dict]] | None = None) -> dict[str, tuple[dict, dict]]:
+def lexicon(learnt: dict[str, tuple[dict, dict, float]] | None = None) -> dict[str, tuple[dict, dict, float]]:
     """Seeds and learnt terms by language; "" has all of them, for texts of no known language."""
-    out: dict[str, tuple[dict, dict]] = {k: ({w: 1.0 for w in ws.split()}, {}) for k, ws in SEEDS.items()}
-    for k, (terms, stems) in (learnt or {}).items():
-        a, b = out.setdefault(k, ({}, {}))
-        a.update(terms)
-        b.update(stems)
-    every = ({}, {})
-    for a, b in out.values():
-        every[0].update(a)
-        every[1].update(b)
-    out[""] = every
+    out: dict[str, tuple[dict, dict, float]] = {k: ({w: 1.0 for w in ws.split()}, {}, 0.0) for k, ws in SEEDS.items()}
+    for k, (terms, stems, noise) in (learnt or {}).items():
+        seeds = out.get(k, ({}, {}, 0.0))[0]
+        out[k] = {**seeds, **terms}, dict(stems), noise
+    every: tuple[dict, dict] = ({}, {})
+    for terms, stems, _ in out.values():
+        every[0].update(terms)
+        every[1].update(stems)
+    out[""] = *every, max(noise for _, _, noise in out.values())
     return out
 
 
