@@ -1,0 +1,44 @@
+"""Stateful streams: pending interactions with a time to live, and sessionized fragments."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+TTL_MICROS = 15 * 60 * 1_000_000
+OUTCOME = "user_id long, event_id long, event_type string, outcome string"
+
+
+def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen, opened, at = state.get if state.exists else (False, False, 0)
+    for rows in parts:
+        out = []
+        for r in rows.sort_values(["us", "event_id"]).itertuples():
+            if r.event_type == "click":
+                outcome = "opened"
+            elif not seen or not opened:
+                outcome = "nothing_pending"
+            else:
+                outcome = "completed" if r.us < at + TTL_MICROS else "expired"
+            seen, opened, at = True, r.event_type == "click", int(r.us)
+            out.append((key[0], r.event_id, r.event_type, outcome))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "outcome"])
+    state.update((seen, opened, at))
+
+
+def pending_outcomes(events: DataFrame) -> DataFrame:
+    """Streaming form of operators.feedback.pending_folds; rows of a user are taken in order within a micro-batch."""
+    keyed = events.selectExpr("user_id", "event_id", "event_type", "unix_micros(cast(ts AS timestamp)) AS us")
+    return keyed.groupBy("user_id").applyInPandasWithState(_step, OUTCOME, "seen boolean, opened boolean, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def feedback_updates(commands: DataFrame) -> DataFrame:
+    """Parsed review commands of a stream of texts, without state."""
+    from pyspark.sql import functions as F
+
+    from dialoom.functions.text import parse_command
+
+    return commands.select("*", parse_command(F.col("text")).alias("command"))
