@@ -17,7 +17,7 @@ from .quality_rules import measured
 NAMES = ("symbols", "capitals", "repeats", "digits", "word_size", "chars", "words", "lines")
 #: Bound on the labelled documents for the fit, chosen by the hash of their id; all that is fitted on a sample.
 SAMPLE = 20_000
-TREES, DEPTH, LEAF, RATE = 40, 3, 20, 0.2
+TREES, DEPTH, LEAF, RATE = 40, 3, 5, 0.2
 PENALTY = 0.002
 THRESHOLD = 0.5
 

@@ -133,9 +133,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Columns stay as they are. A document without dropped lines keeps its text untouched, null included.
     """
-    columns = docs.columns
+    inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     bitmaps = line_bitmaps(docs, id_col=id_col, text_col=text_col).where("n_kept < n_lines")
     b = bitmaps.select(F.col(id_col).alias("__k1"), F.col("text_key").alias("__k2"), F.col("n_kept").alias("__kept"), F.col("keep_runs").alias("__runs"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__key", key).join(b, F.col(id_col).cast("long").eqNullSafe(F.col("__k1")) & (F.col("__key") == F.col("__k2")), "left").where("__kept is null or __kept > 0")
-    return joined.withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(keep_lines(F.col(text_col), F.col("__runs")))).select(*columns)
+    d = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"), *inner)
+    joined = d.join(b, F.col("__id").eqNullSafe(F.col("__k1")) & (F.col("__key") == F.col("__k2")), "left").where("__kept is null or __kept > 0")
+    text = f"c{docs.columns.index(text_col)}"
+    short = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(keep_lines(F.col(text), F.col("__runs")))
+    return joined.select(*[(short if f"c{i}" == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

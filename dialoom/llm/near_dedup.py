@@ -211,9 +211,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs without the rows that near_duplicates names, and with one row only for each repeated (id, text); columns stay.
+    """docs without the rows that near_duplicates names; columns stay as they are, whatever their names.
 
-    Rows with a null id stay.
+    Rows with a null id stay, and rows that repeat an id stay or go together.
     """
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    d = docs.select(F.col(id_col).cast("long").alias("__id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    left = d.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
