@@ -4,9 +4,8 @@ A document's signature holds, for each of 64 hash functions, the least hash over
 of the forest is one order of the signatures: the signature rotated to start at the tree's own slots and
 sorted. Documents that share a long common prefix in an order stand next to each other there, so that the
 candidates are the neighbours in each order: linear in the documents, with no cap on a group's size.
-How deep a prefix must agree adapts to the region: where the window around a document already shares
-a prefix (many documents with the same leading slots), neighbours have to agree on more slots than the window does.
-A candidate pair counts if its whole signatures agree in at least `threshold` of the slots.
+Documents with equal signatures are joined first and stand in the orders as one, so that copies don't fill a window.
+A candidate pair counts if its whole signatures agree in at least `threshold` of the slots, however long the prefix it shares.
 Connected documents form a group; the least doc_id stands for it.
 """
 
@@ -24,7 +23,6 @@ TREES = 8
 THRESHOLD = 0.5
 #: Neighbours on each side in an order.
 REACH = 3
-DEEPEST = 6
 #: Signatures in a range task, about.
 TASK_ROWS = 400_000
 
@@ -67,35 +65,13 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in sig[some]], pa.binary())], names=["doc_id", "sig"])
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common prefix length and number of equal slots, row by row."""
-    same = a == b
-    return np.where(same.all(1), SLOTS, np.argmin(same, axis=1)), same.sum(1)
-
-
-def _walk(threshold: float, reach: int, deepest: int):
+def _walk(threshold: float, reach: int):
     need = int(np.ceil(threshold * SLOTS - 1e-9))
 
     def pairs(sig: np.ndarray, tree: np.ndarray, ids: np.ndarray, fresh: int):
         """Accepted pairs of rows at most `reach` apart, of which the later one is at `fresh` or after."""
-        n = len(ids)
-        lcps = {}
-        for d in range(1, reach + 1):
-            if n <= d:
-                break
-            lcp, equal = _agree(sig[:-d], sig[d:])
-            other = tree[:-d] != tree[d:]
-            lcp[other], equal[other] = 0, 0
-            lcps[d] = lcp, equal
-        for d, (lcp, equal) in lcps.items():
-            # The region: the prefix that the whole window around a row shares. Deeper than that is required, within bounds.
-            wide = lcps.get(reach, (np.zeros(0, int),))[0]
-            region = np.zeros(n, dtype=np.int64)
-            if len(wide):
-                region[: len(wide)] = wide
-                region[reach:] = np.maximum(region[reach:], wide)
-            depth = np.clip(region[:-d] + 1, 1, deepest)
-            ok = (lcp >= depth) & (equal >= need)
+        for d in range(1, min(reach, len(ids) - 1) + 1):
+            ok = ((sig[:-d] == sig[d:]).sum(1) >= need) & (tree[:-d] == tree[d:])
             ok[: max(0, fresh - d)] = False
             i = np.flatnonzero(ok)
             yield from zip(ids[i].tolist(), ids[i + d].tolist())
@@ -153,16 +129,19 @@ _NAMES = ["pid", "side", "tree", "a", "b", "sig"]
 _FOUND = "pid int, side int, tree int, a long, b long, sig binary"
 
 
-def edges(docs: DataFrame, *, id_col: str, text_col: str, trees: int, threshold: float, reach: int, deepest: int) -> DataFrame:
+def edges(docs: DataFrame, *, id_col: str, text_col: str, trees: int, threshold: float, reach: int) -> DataFrame:
     """(a, b), a < b: accepted candidate pairs, contracted to a forest within each task."""
     signed = cut(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_sign, "doc_id long, sig binary"))
+    # Of each signature the least id stands in the orders; the others are joined to it here.
+    kinds = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    copies = signed.join(kinds.withColumnRenamed("doc_id", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     step = SLOTS // trees * 2
-    spread = signed.select(F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), "doc_id", "sig").select(
+    spread = kinds.select(F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), "doc_id", "sig").select(
         "tree", F.concat(F.expr(f"substring(sig, tree * {step} + 1)"), F.expr(f"substring(sig, 1, tree * {step})")).alias("sig"), "doc_id"
     )
-    n = signed.count() * trees
+    n = kinds.count() * trees
     ranged = spread.repartitionByRange(max(1, min(12, -(-n // 20_000)) if n <= 12 * TASK_ROWS else -(-n // TASK_ROWS)), "tree", "sig", "doc_id").sortWithinPartitions("tree", "sig", "doc_id")
-    found = cut(ranged.mapInArrow(_walk(threshold, reach, deepest), _FOUND))
+    found = cut(ranged.mapInArrow(_walk(threshold, reach), _FOUND))
     inner = found.where("side = 0").select("a", "b")
     # Edge rows: the last rows of a task against the first ones of the next task that has any. Two small rows a task.
     rim = found.where("side > 0")
@@ -172,9 +151,9 @@ def edges(docs: DataFrame, *, id_col: str, text_col: str, trees: int, threshold:
     right = rim.where("side = 1").select(F.col("pid").alias("next"), F.col("tree").alias("rt"), F.col("b").alias("ra"), F.col("sig").alias("rs"))
     slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
     equal = F.size(F.filter(slots, lambda i: F.substring(F.hex("ls"), i * 4 + 1, F.lit(4)) == F.substring(F.hex("rs"), i * 4 + 1, F.lit(4))))
-    across = left.join(right, "next").where("lt = rt and la <> ra and substring(ls, 1, 2) = substring(rs, 1, 2)").where(equal >= need)
+    across = left.join(right, "next").where("lt = rt and la <> ra").where(equal >= need)
     across = across.select(F.least("la", "ra").alias("a"), F.greatest("la", "ra").alias("b"))
-    return inner.unionByName(across).where("a <> b").distinct()
+    return inner.unionByName(across).unionByName(copies).where("a <> b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -198,7 +177,7 @@ def components(pairs: DataFrame) -> DataFrame:
         before = mark
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, threshold: float = THRESHOLD, reach: int = REACH, deepest: int = DEEPEST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, threshold: float = THRESHOLD, reach: int = REACH) -> DataFrame:
     """(doc_id, duplicate_of): one row for each document that is not the one kept of its group.
 
     - duplicate_of is the least id of the group; groups are the connected components of accepted pairs.
@@ -206,7 +185,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     - Rows that repeat an id are one document. An empty table gives an empty result.
     - Texts count whole, whatever their length; a text of one word has that word as its only shingle.
     """
-    found = edges(docs, id_col=id_col, text_col=text_col, trees=trees, threshold=threshold, reach=reach, deepest=deepest)
+    found = edges(docs, id_col=id_col, text_col=text_col, trees=trees, threshold=threshold, reach=reach)
     return components(found).select(F.col("member").alias(id_col), F.col("root").alias("duplicate_of"))
 
 

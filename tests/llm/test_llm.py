@@ -76,6 +76,35 @@ def test_near_copies_join_and_others_stay(spark):
     assert got == {**{i: 0 for i in range(1, 100)}, 2001: 2000}
 
 
+def _changed(rng, ws, share):
+    """The words with a share of them replaced, in single places."""
+    ws = list(ws)
+    for k in rng.choice(len(ws), int(share * len(ws)), replace=False):
+        ws[k] = f"n{rng.integers(1 << 40)}"
+    return ws
+
+
+def _jaccard(a, b):
+    a, b = (set(zip(x, x[1:])) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_beside_exact_copies_join(spark):
+    rng = np.random.default_rng(3)
+    rows, near = [], []
+    for g in range(60):
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+        other = _changed(rng, base, 0.12)
+        assert _jaccard(base, other) >= 0.6
+        rows += [(g * 100 + i, " ".join(base)) for i in range(50)] + [(g * 100 + 60, " ".join(other))]
+        near.append(g * 100 + 60)
+    got = {r.doc_id: r.duplicate_of for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get(g * 100 + i) == g * 100 for g in range(60) for i in range(1, 50))
+    found = sum(got.get(i) == i - 60 for i in near)
+    print("near copies beside 50 copies found:", found, "of", len(near))
+    assert found >= 57
+
+
 def test_packs_keep_limits_and_lose_nothing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.integers(1, 3000)), int(rng.integers(1, 10)), int(rng.integers(0, 3000))) for i in range(400)] + [(400, 20_000, 3, 9_000), (None, None, None, None)]
