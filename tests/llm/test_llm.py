@@ -105,6 +105,16 @@ def test_near_copies_beside_exact_copies_join(spark):
     assert found >= 57
 
 
+def test_documents_that_share_a_passage_below_the_threshold_stay(spark):
+    rng = np.random.default_rng(4)
+    passage = [f"p{k}" for k in range(123)]
+    rows = [(i, passage + [f"w{rng.integers(1 << 40)}" for _ in range(77)]) for i in range(2_000)]
+    assert 0.42 < _jaccard(rows[0][1], rows[1][1]) < 0.46
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")).count()
+    print("documents with a shared passage taken for copies:", got, "of", len(rows))
+    assert got == 0
+
+
 def test_packs_keep_limits_and_lose_nothing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.integers(1, 3000)), int(rng.integers(1, 10)), int(rng.integers(0, 3000))) for i in range(400)] + [(400, 20_000, 3, 9_000), (None, None, None, None)]
