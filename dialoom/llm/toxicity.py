@@ -8,8 +8,8 @@ target, negation, reported speech, other), which pass a cascade of transducers t
     threat     a threat with a target within four words leaves it as an aimed threat
     target     an insult and a target in the same clause, in either order, add the weight of aiming
 
-A clause's score is the weight of its path. The document's score is the sum over its matched clauses, less
-an allowance for stems that also occur by chance; it is toxic from `threshold` on, so that one insult without a target isn't enough, nor are any number of negated threats.
+A clause's score is the weight of its path. The document's score is the sum over its matched clauses. From those that match by
+stems alone an allowance is taken, as stems also occur by chance; clauses with a seed, a term or an aimed threat count in full. It is toxic from `threshold` on, so that one insult without a target isn't enough, nor are any number of negated threats.
 
 Insults are a seed list in four languages, and terms and stems learnt from labelled documents by their likelihood ratio.
 """
@@ -34,7 +34,7 @@ EVIDENCE = 20.0
 #: Times as frequent that a stem must be among the words of toxic documents.
 RATIO = 8.0
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
-#: Weight that is taken off a document for each match of a stem that chance alone would give in its length.
+#: Weight that is taken off a document's clauses without any other match for each match of a stem that chance alone would give in its length.
 ALLOWANCE = 8.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATE, REPORT = range(6)
@@ -158,9 +158,9 @@ class Matcher:
         self.machine.make_automaton()
 
     def score(self, text: str) -> tuple[float, int]:
-        """(sum of the clauses' scores, less what chance allows a text of its length; number of matched clauses) of a whole text."""
+        """(sum of the clauses' scores, those of stems alone less what chance allows a text of its length; number of matched clauses) of a whole text."""
         low = text.lower()
-        total, matched, done = 0.0, 0, -1
+        firm, loose, matched, done = 0.0, 0.0, 0, -1
         for end, n in self.machine.iter(low):
             at = end - n + 1
             if at < done or at > 0 and low[at - 1].isalpha():
@@ -172,10 +172,13 @@ class Matcher:
             right = right.start() if right else len(low)
             score, hits = clause_score(low[left:right], self.insults, self.stems)
             if hits and score > 0:
-                total += score
+                if self.noise and clause_score(low[left:right], self.insults, {})[0] == 0:
+                    loose += score
+                else:
+                    firm += score
                 matched += 1
             done = right
-        return round(max(0.0, total - ALLOWANCE * self.noise * len(low)), 4), matched
+        return round(firm + max(0.0, loose - ALLOWANCE * self.noise * len(low)), 4), matched
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: dict | None = None, evidence: float = EVIDENCE) -> dict[str, tuple[dict, dict, float]]:

@@ -149,6 +149,14 @@ def test_clauses_not_words():
     assert not toxic("You are not an idiot.") and not toxic("He said you are an idiot.") and not toxic("I won't hurt you.") and not toxic("An idiot.")
 
 
+def test_allowance_is_for_stems_only():
+    m = toxicity.Matcher({"idiot": 1.0}, {"zorg": 1.0}, 2.2e-4)
+    filler = "rien de plus ici. " * 560
+    assert m.score(filler + "tu es un idiot. " * 5)[0] == 8.75
+    assert m.score(filler + "i will kill you! ")[0] == 2.0
+    assert m.score(filler + "zorgal. " * 5)[0] == 0 and m.score("zorgal. " * 5)[0] > 4
+
+
 def test_bpe_equals_the_library_and_round_trips(spark):
     from tokenizers import Tokenizer
 
