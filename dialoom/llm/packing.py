@@ -6,7 +6,7 @@ have the largest dot product with what is left of the pack goes in, so that a pa
 budget draws the examples that match. Examples are spread by the hash of their id over groups of about `group_rows`, each packed by
 itself, so that the work is linear in the examples; at that size a group's last pack is all that is lost.
 
-An example that exceeds the limit on tokens or loss is cut into pieces that don't; no token is lost.
+An example that exceeds a limit is cut where the limit is reached; no token is lost. The sizes of the pieces are counted from its turns.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 TOKENS, SEGMENTS, LOSS = 4096, 24, 3072
 GROUP_ROWS = 5_000
@@ -88,38 +88,97 @@ _OUT = ["group", "pack", "example", "piece", "first_token", "n_tokens", "n_segme
 _OUT_SCHEMA = "group long, pack long, example long, piece long, first_token long, n_tokens long, n_segments long, n_loss long"
 
 
+def cut_turns(turns: list[tuple[int, bool]], limits: tuple[int, int, int]) -> list[tuple[int, int, int, int]]:
+    """(first token, tokens, segments, loss tokens) of each piece of an example with the turns (tokens, loss).
+
+    A piece ends where the next token or turn would exceed a limit; a turn that is cut is a segment of each piece that it reaches into.
+    """
+    tokens, segments, loss = limits
+    out, first, n, s, k = [], 0, 0, 0, 0
+    for size, own in turns:
+        rest = size
+        while True:
+            take = min(rest, tokens - n, loss - k if own else rest)
+            if s < segments and (take or not rest):
+                n, s, k, rest = n + take, s + 1, k + take * own, rest - take
+                if not rest:
+                    break
+            out.append((first, n, s, k))
+            first, n, s, k = first + n, 0, 0, 0
+    return [*out, (first, n, s, k)]
+
+
+def _cutter(limits: tuple[int, int, int]):
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for example, turns in zip(b.column("example").to_pylist(), b.column("turns").to_pylist()):
+                pieces = cut_turns([(max(0, t["n_tokens"] or 0), bool(t["loss"])) for t in turns or []], limits)
+                rows += [(example, i, *p) for i, p in enumerate(pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 6, names=_PIECE)
+
+    return run
+
+
+_PIECE = ["example", "piece", "first_token", "n_tokens", "n_segments", "n_loss"]
+
+
 def pack(examples: DataFrame, *, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Packs (example, n_tokens, n_segments, n_loss): (group, pack, example, piece, first_token, sizes), one row a piece.
+    """Packs (example, turns) or (example, n_tokens, n_segments, n_loss): (group, pack, example, piece, first_token, sizes), one row a piece.
 
     - (group, pack) names a pack. The sizes of a pack's rows stay within the limits in sum.
+    - turns are structs (n_tokens, loss) in order. An example that exceeds a limit is cut where it is reached, and each piece
+      has the loss tokens and the segments of the turns that it spans; a cut turn counts as a segment in each of its pieces.
+    - Without turns it isn't known where the loss lies: an example over a limit becomes equal pieces, of which each has an equal share of
+      the loss and the segments that it touches if they are of equal length.
     - Null sizes count as 0; n_loss is at most n_tokens; examples without tokens take their segments and no more.
-    - An example with more tokens, loss tokens or segments than a pack holds becomes several equal pieces.
     - Repeated examples are packed each; a null example id is an id like others. An empty table gives an empty result.
     - Ties in the heuristic go to the example with the lesser hash of its id.
     """
+    limits = tokens, segments, loss
+    if min(limits) < 1:
+        raise ValueError("every limit of a pack must be 1 or more")
+    if "turns" in examples.columns:
+        pieces = examples.select(F.col("example").cast("long").alias("example"), "turns").mapInArrow(_cutter(limits), ", ".join(f"{c} long" for c in _PIECE))
+    else:
+        pieces = _even(examples, limits)
+    pieces = cut(pieces)
+    groups = max(1, -(-pieces.count() // group_rows))
+    hashed = pieces.withColumn("__order", F.xxhash64(F.coalesce("example", F.lit(-1)), "piece")).withColumn("group", F.pmod(F.col("__order"), F.lit(groups)))
+    return hashed.groupBy("group").applyInArrow(_packer(limits), _OUT_SCHEMA)
+
+
+def _even(examples: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
+    """Pieces of examples of which only the sizes are known."""
+    tokens, segments, loss = limits
     n = lambda c: F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0))
     e = examples.select(F.col("example").cast("long").alias("example"), n("n_tokens").alias("n_tokens"), n("n_segments").alias("n_segments"), F.least(n("n_loss"), n("n_tokens")).alias("n_loss"))
     up = lambda c, most: F.ceil(F.col(c) / most)
     e = e.withColumn("parts", F.greatest(F.lit(1), up("n_tokens", tokens), up("n_loss", loss), up("n_segments", segments)))
+    # A piece may touch one segment more than its share.
+    e = e.withColumn("parts", F.when(F.col("parts") > 1, F.greatest("parts", up("n_segments", max(1, segments - 1)))).otherwise(F.col("parts")))
     e = e.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # Piece k has the k-th share of each size; shares differ by one at most, so that none exceeds its limit.
     at = lambda c, k: F.floor(F.col(c) * k / F.col("parts"))
     share = lambda c: (at(c, F.col("piece") + 1) - at(c, F.col("piece"))).alias(c)
-    pieces = e.select("example", "piece", at("n_tokens", F.col("piece")).alias("first_token"), share("n_tokens"), share("n_segments"), share("n_loss"))
-    groups = max(1, -(-pieces.count() // group_rows))
-    hashed = pieces.withColumn("__order", F.xxhash64(F.coalesce("example", F.lit(-1)), "piece")).withColumn("group", F.pmod(F.col("__order"), F.lit(groups)))
-    return hashed.groupBy("group").applyInArrow(_packer((tokens, segments, loss)), _OUT_SCHEMA)
+    touched = F.least(F.lit(segments), F.ceil(F.col("n_segments") * (F.col("piece") + 1) / F.col("parts")) - at("n_segments", F.col("piece"))).alias("n_segments")
+    return e.select("example", "piece", at("n_tokens", F.col("piece")).alias("first_token"), share("n_tokens"), touched, share("n_loss"))
+
+
+def _turns(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["n_tokens"].alias("n_tokens"), t["loss"].alias("loss"))).alias("turns")
 
 
 def conversation_examples(conversations: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One example a conversation: all tokens, a segment a turn, and the assistant's tokens as loss-bearing ones.
+    """One example a conversation: its sizes and turns, in order; a segment a turn, and the assistant's tokens as loss-bearing ones.
 
     Null texts have no tokens; a null role bears no loss; turns with a null conv_id form one conversation.
     """
-    turns = count_tokens(conversations, F.col("text"), F.col("conv_id").cast("long").alias("example"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("own"), tokenizer=tokenizer)
-    return turns.groupBy("example").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum(F.when(F.col("own"), F.col("n_tokens")).otherwise(0)).alias("n_loss"))
+    turns = count_tokens(conversations, F.col("text"), F.col("conv_id").cast("long").alias("example"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("own"), tokenizer=tokenizer)
+    return turns.groupBy("example").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum(F.when(F.col("own"), F.col("n_tokens")).otherwise(0)).alias("n_loss"), _turns(F.array_sort(F.collect_list(F.struct("turn", "n_tokens", F.col("own").alias("loss"))))))
 
 
 def document_examples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """One example a document: a single segment whose tokens all bear loss."""
-    return count_tokens(docs, F.col(text_col), F.col(id_col).cast("long").alias("example"), tokenizer=tokenizer).select("example", "n_tokens", F.lit(1).alias("n_segments"), F.col("n_tokens").alias("n_loss"))
+    counted = count_tokens(docs, F.col(text_col), F.col(id_col).cast("long").alias("example"), tokenizer=tokenizer)
+    return counted.select("example", "n_tokens", F.lit(1).alias("n_segments"), F.col("n_tokens").alias("n_loss"), _turns(F.array(F.struct("n_tokens", F.lit(True).alias("loss")))))

@@ -127,6 +127,17 @@ def test_packs_keep_limits_and_lose_nothing(spark):
     assert len(sums) <= 1.15 * bound + 1
 
 
+def test_pieces_count_their_own_turns(spark):
+    word = " one"
+    turns = [(1, 0, "user", word * 4000), (1, 1, "assistant", word * 4000), (2, 0, "user", word * 5), (2, 1, "assistant", word * 7)]
+    e = packing.conversation_examples(spark.createDataFrame(turns[::-1], "conv_id long, turn long, role string, text string"))
+    got = {(r.example, r.piece): tuple(r)[4:] for r in packing.pack(e).collect()}
+    assert got == {(1, 0): (0, 4096, 2, 96), (1, 1): (4096, 3072, 1, 3072), (1, 2): (7168, 832, 1, 832), (2, 0): (0, 12, 2, 7)}
+    e = packing.document_examples(spark.createDataFrame([(1, word * 7000)], "doc_id long, text string"))
+    assert sorted(tuple(r)[4:] for r in packing.pack(e).collect()) == [(0, 3072, 1, 3072), (3072, 3072, 1, 3072), (6144, 856, 1, 856)]
+    assert packing.cut_turns([(0, False)] * 30, (10, 24, 5)) == [(0, 0, 24, 0), (0, 0, 6, 0)] and packing.cut_turns([], (10, 24, 5)) == [(0, 0, 0, 0)]
+
+
 def test_neighbours_recall(spark):
     e = spark.read.parquet(f"{DIR}/embeddings.parquet")
     got = ann.neighbours(e).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n")).toPandas().set_index("vec_id").n
