@@ -4,6 +4,8 @@ Paragraph-like blocks pass points to their ancestors: one, one for each comma, a
 up to three; the parent gets all of them, the grandparent half, three further ancestors a sixth and less. A container's points are
 discounted by its link density, the share of its characters that are link text. The best container is kept with those of its
 siblings that score near it, or that are plain paragraphs with few links.
+
+Where little text is left that way, the page is read again without the hints of classes and ids, and then with all elements.
 """
 
 from __future__ import annotations
@@ -21,6 +23,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("p div article section main body td th li ul ol dl dd dt pre blockquote h1 h2 h3 h4 h5 h6 table tr tbody thead tfoot header footer nav aside form figure figcaption html head address details summary fieldset".split())
 _PARAGRAPH = frozenset("p td pre blockquote".split())
 _DROP = frozenset("nav footer aside form button select head header".split())
+#: What holds a page's content is never boilerplate for its class, id or parent.
+_WHOLE = frozenset("html body main".split())
+_NO_HINT = _WHOLE | {"article", "form"}
+_IN_HEAD = frozenset("base link meta".split())
+#: A reading that leaves fewer characters is held against the next ones, which take less for boilerplate.
+ENOUGH = 250
+#: Times as much text that such a reading must leave to count instead of a short one: short pages have menus and footers too.
+FAR_MORE = 4
 _CLOSES = {"p": _BLOCK - {"html", "body"}, "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 _HINT = re.compile(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*\b(?:ad|ads|advert|banner|comment|cookie|footer|menu|nav|promo|related|share|sidebar|social|sponsor)\b", re.I)
 #: Shares of a paragraph's points that its parent, grandparent and so on get.
@@ -37,8 +47,8 @@ class Node:
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; unclosed and stray tags are taken as browsers mostly do."""
+def parse(html: str, hints: bool = True, drop: frozenset = _DROP) -> Node:
+    """The tree of a page; unclosed and stray tags are taken as browsers mostly do. hints and drop: what marks boilerplate."""
     root = node = Node("html", None)
     at, end = 0, len(html)
     while at < end:
@@ -70,10 +80,12 @@ def parse(html: str) -> Node:
             continue
         while node.parent is not None and tag in _CLOSES.get(node.tag, ()):
             node = node.parent
+        if node.tag == "head" and node.parent is not None and tag not in _IN_HEAD:
+            node = node.parent
         if tag == "br" or tag == "hr":
             node.children.append("\n")
         elif tag not in _VOID and not m["rest"].endswith("/"):
-            bad = node.bad or tag in _DROP or bool(_HINT.search(m["rest"]))
+            bad = tag not in _WHOLE and (node.bad or tag in drop or hints and tag not in _NO_HINT and bool(_HINT.search(m["rest"])))
             if node.tag == "p" and tag in _BLOCK and node.parent is not None:
                 node = node.parent
             new = Node(tag, node, bad)
@@ -122,10 +134,24 @@ def _density(n: Node) -> float:
 
 
 def extract(html: str | None) -> tuple[str, float]:
-    """The main text and the score of its container. Without any scored block, all text outside boilerplate."""
+    """The main text and the score of its container.
+
+    The first reading with any text counts, unless a later one has a scored block, ENOUGH characters and FAR_MORE than it.
+    """
     if not html:
         return "", 0.0
-    root = parse(html)
+    best = "", 0.0
+    for hints, drop in ((True, _DROP), (False, _DROP), (False, _DROP - {"form"}), (False, frozenset(["head"]))):
+        got = _read(parse(html, hints, drop))
+        if not best[0] or got[1] > 0 and len(got[0]) >= max(ENOUGH, FAR_MORE * len(best[0])):
+            best = got
+        if best[1] > 0 and len(best[0]) >= ENOUGH:
+            break
+    return best
+
+
+def _read(root: Node) -> tuple[str, float]:
+    """Text and score of one reading. Without any scored block, all text outside boilerplate."""
     order = _measure(root)
     scored = []
     for n in order:

@@ -222,6 +222,25 @@ def test_main_text_of_a_page():
     assert html_text.extract("<div>" * 5000 + "deep")[0] == "deep" and html_text.extract(None) == ("", 0.0)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><body class='page no-sidebar'>{}</body></html>",
+        "<body><div class='layout menu-open'>{}</div></body>",
+        "<body><article class='post has-comment'>{}</article></body>",
+        "<html><body><form id=aspnet><nav>Menu</nav>{}</form></body></html>",
+        "<html><head><title>T</title><meta charset=utf-8><body>{}</body></html>",
+        "<html><head><title>T</title>{}",
+        "<body><nav><a href=/>Home</a>{}</body>",
+        "<body><aside class=sidebar>{}</body>",
+    ],
+)
+def test_boilerplate_marks_do_not_empty_a_page(page):
+    body = "This is a paragraph, with commas, and enough text to count as content for the page. " * 3
+    text, score = html_text.extract(page.format(f"<div><p>{body}</p><p>{body}</p></div>"))
+    assert text.count("This is a paragraph") == 6 and score > 0 and "Menu" not in text
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
