@@ -2,18 +2,18 @@
 
 Pivots are drawn from the vectors by the hash of their id, about two for each root of the number of vectors. A vector is represented by its nearest
 pivots in order. It is posted in the inverted files of its first `post` pivots, and as a query it visits those of its first
-`visit` pivots. In a file, the postings are ranked by the footrule distance between the two orders (pivots beyond an order's end
-stand one place after it), and the nearest `share` of them are reranked by their cosine.
+`visit` pivots. All postings of a visited file are reranked by their cosine.
 
-post, visit and share are set on the data: a bounded number of vectors is compared with all others, in one linear pass, and the
-cheapest setting is taken under which their true neighbours are found as often as `recall` asks, with something to spare.
+post and visit are set on the data, visit by region, which is the set of vectors with the same nearest pivot: some vectors of every
+region are compared with all others, in one linear pass, and of the settings under which the true neighbours of every region
+are found as often as `recall` asks, with something to spare, the cheapest is taken.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -22,11 +22,11 @@ K = 10
 RECALL = 0.95
 #: Places of an order that are kept.
 LENGTH = 32
-#: Vectors that are compared with all others for the settings, and vectors whose footrule distances stand for all.
-TRIALS, WITNESSES = 128, 2_048
+#: Vectors of each region that are compared with all others for the settings.
+TRIALS = 4
 #: Queries of one file that a task handles at once; a file with more is copied for each further lot.
 LOT = 8_192
-POSTS, VISITS = (2, 4, 8, 16, 32), (2, 4, 8, 16, 32)
+POSTS = (2, 4, 8, 16, 32)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -64,23 +64,6 @@ def _order(pivots: np.ndarray, length: int):
     return run
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
-    """For each pair of orders the sum over shared pivots of the lesser remaining length.
-
-    With orders of equal length L, the footrule distance is L(L+1) less twice this sum, so that most overlap is least distance.
-    """
-    length = a.shape[1]
-    weight = np.arange(length, 0, -1, dtype=np.int16)
-    out = np.zeros((len(a), len(b)), np.int16)
-    ra, rb = np.argsort(a.ravel(), kind="stable"), np.argsort(b.ravel(), kind="stable")
-    ea, eb = np.searchsorted(a.ravel()[ra], np.arange(m + 1)), np.searchsorted(b.ravel()[rb], np.arange(m + 1))
-    for p in range(m):
-        i, j = ra[ea[p] : ea[p + 1]], rb[eb[p] : eb[p + 1]]
-        if len(i) and len(j):
-            out[np.ix_(i // length, j // length)] += np.minimum(weight[i % length][:, None], weight[j % length][None, :])
-    return out
-
-
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> list[list[dict]]:
     """The k best of each row, as structs that sort best first; ties go to the lesser id."""
     out = []
@@ -100,8 +83,9 @@ _LIST_SQL = "array<struct<far:double,id:bigint>>"
 def _exact(trial_ids: np.ndarray, trials: np.ndarray, k: int):
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            step = max(64, min(4096, 4_000_000 // len(trials)))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 ids = np.asarray(part.column("id"))
                 score = np.round((trials @ _vectors(part.column("v"), trials.shape[1]).T).astype(np.float64), 6)
                 score[trial_ids[:, None] == ids[None, :]] = -np.inf
@@ -115,22 +99,17 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
 
 
-def _visit(k: int, m: int, share: float):
+def _visit(k: int):
     def run(key, posted: pa.Table, queries: pa.Table) -> pa.Table:
         if not posted.num_rows or not queries.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], _LIST)], names=["query", "best"])
-        load = lambda t: (np.asarray(t.column("id")), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(t.num_rows, -1), np.array(t.column("order").to_pylist(), np.int32))
-        ids, x, ox = load(posted)
-        qids, q, oq = load(queries)
-        rank = max(k + 1, int(np.ceil(share * len(ids))))
+        load = lambda t: (np.asarray(t.column("id")), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(t.num_rows, -1))
+        ids, x = load(posted)
+        qids, q = load(queries)
         best: list = []
         step = max(1, 2_000_000 // len(ids))
         for at in range(0, len(qids), step):
-            near = overlaps(oq[at : at + step], ox, m)
             score = np.round((q[at : at + step] @ x.T).astype(np.float64), 6)
-            if rank < len(ids):
-                # All postings as near by footrule as the last one of the share are reranked, ties included.
-                score[near < np.partition(near, len(ids) - rank, axis=1)[:, len(ids) - rank][:, None]] = -np.inf
             score[qids[at : at + step][:, None] == ids[None, :]] = -np.inf
             best += _top(score, ids, k)
         return pa.Table.from_arrays([pa.array(qids), pa.array(best, _LIST)], names=["query", "best"])
@@ -138,37 +117,34 @@ def _visit(k: int, m: int, share: float):
     return run
 
 
-def settings(ordered: DataFrame, n: int, m: int, k: int, recall: float) -> tuple[int, int, float]:
-    """(post, visit, share) for the data."""
-    drawn = ordered.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(WITNESSES).collect()  # bounded
-    trials = drawn[:TRIALS]
+def settings(ordered: DataFrame, k: int, recall: float) -> tuple[int, dict[int, int]]:
+    """(post, visit by region) for the data."""
+    region = ordered.withColumn("region", F.element_at("order", 1))
+    sizes = {r.region: r["count"] for r in region.groupBy("region").count().collect()}
+    drawn = Window.partitionBy("region").orderBy(F.xxhash64("id", F.lit(7)), "id")
+    trials = region.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= TRIALS).collect()  # TRIALS a pivot at most
     vectors = np.stack([np.frombuffer(r.v, np.float32) for r in trials])
     true = _merged(ordered.select("id", "v").mapInArrow(_exact(np.array([r.id for r in trials]), vectors, k), f"query long, best {_LIST_SQL}"), k).collect()
     wanted = {r.query: [x.id for x in r.best] for r in true}
     ids = sorted({i for v in wanted.values() for i in v})
     if not ids:
-        return POSTS[0], VISITS[0], 1.0
+        return POSTS[0], dict.fromkeys(sizes, POSTS[0])
     found = {r.id: np.array(r.order) for r in ordered.join(F.broadcast(ordered.sparkSession.createDataFrame([(i,) for i in ids], "id long")), "id").select("id", "order").collect()}
-    pairs = [(np.array(t.order), found[i]) for t in trials for i in wanted.get(t.id, [])]
-    a, b = np.stack([p for p, _ in pairs]), np.stack([p for _, p in pairs])
-    length = a.shape[1]
-    spare = 1 - (1 - recall) / 2
-    options = sorted(((p * v, max(p, v), p, v) for p in POSTS for v in VISITS if max(p, v) <= length) or [(1, 1, length, length)])
-    post, visit = length, length
-    for _, _, p, v in options:
-        if (a[:, :v, None] == b[:, None, :p]).any((1, 2)).mean() >= spare:
-            post, visit = p, v
-            break
-    # How deep the true neighbours stand in the ranking of all witnesses that the query would meet.
-    others = np.stack([np.array(r.order) for r in drawn])
-    depth = []
+    length = len(trials[0].order)
+    # For each post the places of its order that a query must visit to meet each of its true neighbours; length + 1: it doesn't.
+    posts = sorted({min(p, length) for p in POSTS} | {length})
+    needs: dict[int, list[np.ndarray]] = {r: [] for r in sizes}
     for t in trials:
-        o = np.array(t.order)[None, :]
-        met = others[(others[:, None, :post] == o[0][None, :visit, None]).any((1, 2))]
-        mine = np.stack([found[i] for i in wanted.get(t.id, [])]) if wanted.get(t.id) else np.zeros((0, length), np.int32)
-        if len(met) and len(mine):
-            depth += (overlaps(o, met, m)[0][None, :] > overlaps(o, mine, m)[0][:, None]).mean(1).tolist()
-    return post, visit, float(min(1.0, np.quantile(depth, spare) + 1 / len(others))) if depth else 1.0
+        for i in wanted.get(t.id, []):
+            same = np.array(t.order)[:, None] == found[i][None, :]
+            needs[t.region].append(np.array([x.argmax() + 1 if (x := same[:, :p].any(1)).any() else length + 1 for p in posts]))
+    spare = 1 - (1 - recall) / 2
+    every = {r: np.quantile(np.stack(x), spare, axis=0, method="higher").astype(int) if x else np.ones(len(posts), int) for r, x in needs.items()}
+    # First of all few vectors in regions where even the longest visit falls short, then little work.
+    short = [sum(sizes[r] for r in sizes if every[r][j] > length) for j in range(len(posts))]
+    work = [p * sum(int(sizes[r]) * int(every[r][j]) for r in sizes) for j, p in enumerate(posts)]
+    j = min(range(len(posts)), key=lambda j: (short[j], work[j]))
+    return posts[j], {r: int(min(length, every[r][j])) for r in sizes}
 
 
 def neighbours(vectors: DataFrame, *, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, pivots: int | None = None) -> DataFrame:
@@ -191,14 +167,16 @@ def neighbours(vectors: DataFrame, *, k: int = K, id_col: str = "vec_id", vec_co
     m = pivots or max(1, min(n, int(2 * n**0.5) + 8))
     chosen = np.stack([np.frombuffer(r.v, np.float32) for r in unit.orderBy(F.xxhash64("id"), "id").limit(m).collect()])
     ordered = cut(unit.mapInArrow(_order(chosen, min(LENGTH, m)), "id long, v binary, order array<int>"))
-    post, visit, share = settings(ordered, n, m, k, recall)
-    posted = ordered.select(F.explode(F.slice("order", 1, post)).alias("pivot"), "id", "v", "order")
-    queries = ordered.select(F.explode(F.slice("order", 1, visit)).alias("pivot"), "id", "v", "order")
+    post, visits = settings(ordered, k, recall)
+    posted = ordered.select(F.explode(F.slice("order", 1, post)).alias("pivot"), "id", "v")
+    # One row a region: of the size of the pivots that the driver holds anyway.
+    visit = F.broadcast(spark.createDataFrame(list(visits.items()), "region int, visit int"))
+    queries = ordered.withColumn("region", F.element_at("order", 1)).join(visit, "region").select(F.explode(F.slice("order", F.lit(1), F.col("visit"))).alias("pivot"), "id", "v")
     # A pivot with many queries is served in lots, each with a copy of its file, so that no task grows with a dense region.
     lots = cut(queries.groupBy("pivot").agg(F.ceil(F.count("*") / LOT).alias("lots")))
     lots = F.broadcast(lots)  # one row a pivot: of the size of the pivots that the driver holds anyway
     # Both sides come from one table: the queries' columns get identities of their own.
-    queries = queries.join(lots, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("lots")).alias("lot"), *[F.col(c).alias(c) for c in ("id", "v", "order")])
-    posted = posted.join(lots, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "id", "v", "order")
-    met = posted.groupBy("pivot", "lot").cogroup(queries.groupBy("pivot", "lot")).applyInArrow(_visit(k, m, share), f"query long, best {_LIST_SQL}")
+    queries = queries.join(lots, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("lots")).alias("lot"), *[F.col(c).alias(c) for c in ("id", "v")])
+    posted = posted.join(lots, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "id", "v")
+    met = posted.groupBy("pivot", "lot").cogroup(queries.groupBy("pivot", "lot")).applyInArrow(_visit(k), f"query long, best {_LIST_SQL}")
     return _merged(met, k).select(F.col("query").alias("vec_id"), F.posexplode("best").alias("rank", "b")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("neighbour"), F.round(-F.col("b.far"), 5).alias("similarity"))

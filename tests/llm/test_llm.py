@@ -153,6 +153,22 @@ def test_neighbours_recall(spark):
     assert ann.neighbours(odd.where("false")).collect() == []
 
 
+def test_neighbours_recall_outside_a_crowd(spark):
+    rng = np.random.default_rng(5)
+    n, hot = 8_000, 7_200
+    x = rng.normal(size=(n, 64))
+    x[:hot] = 0.5 * x[:hot] + 3 * rng.normal(size=64)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n")).toPandas().set_index("vec_id").n
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    best = np.argpartition(-s, 10, axis=1)[:, :10]
+    found = np.array([len(set(got[i]) & set(best[i])) / 10 for i in range(n)])
+    print("recall inside and outside the crowd:", found[:hot].mean().round(3), found[hot:].mean().round(3))
+    assert found[:hot].mean() >= 0.9 and found[hot:].mean() >= 0.9
+
+
 def test_clauses_not_words():
     m = toxicity.Matcher(*toxicity.lexicon()["en"])
     toxic = lambda t: m.score(t)[0] >= toxicity.THRESHOLD
