@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney language model over characters.
 
 Characters are symbols of 12 bits: code points below 2,048 stand for themselves, others are hashed into 2,046 more; two
-symbols mark the start and the end of a text. A 5-gram is thus 60 bits, and the stored hash of an n-gram (a bijection of those bits)
-never collides. Tasks count the 5-grams of their texts, Spark adds them up; lower orders hold continuation
+symbols mark the start and the end of a text. So characters of Han, kana, Hangul and other scripts share symbols, and texts of them may be
+taken for each other. A 5-gram is 60 bits, and the stored hash of an n-gram of symbols (a bijection of those bits) never collides. Tasks count the 5-grams of their texts, Spark adds them up; lower orders hold continuation
 counts: the number of different symbols before an n-gram. Three discounts an order come from the counts of counts.
 
 The model is stored as arrays sorted by hash in the folder that all workers share: for each order the discounted probabilities
