@@ -196,3 +196,19 @@ def _decode(path: str):
 def decode(tokens: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of (doc_id, token_ids); null ids give a null text."""
     return tokens.select("doc_id", "token_ids").mapInArrow(_decode(path), "doc_id long, text string")
+
+
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, gives_back) of every row: encode, and whether the ids decode to the text; null for a null text."""
+
+    def run(batches):
+        code, words = Encoder(path), vocabulary(path)
+        for b in batches:
+            for part in slices(b, "text", 1 << 20):
+                texts = part.column("text")
+                offsets, ids = code.encode([t or "" for t in texts.to_pylist()])
+                rows = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None)
+                same = [None if t is None else words.decode(i) == t for t, i in zip(texts.to_pylist(), rows.to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), rows, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "gives_back"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, gives_back boolean")

@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,13 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(df)).collect()} == texts
 
 
+def test_bpe_query_decodes_what_it_encodes(spark):
+    rows = queries.op6_bpe(spark, DIR).collect()
+    assert len(rows) == spark.read.parquet(f"{DIR}/documents.parquet").count() and all(r.gives_back for r in rows if r.token_ids is not None)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "é ퟿ <|endoftext|>")], "doc_id long, text string")
+    assert {r.doc_id: (r.gives_back, r.token_ids is None) for r in bpe.round_trip(odd).collect()} == {1: (None, True), 2: (True, False), 3: (True, False)}
+
+
 def test_model_against_dictionaries(spark):
     texts = ["the cat sat on the mat", "the cat ate the rat", "a cat and a rat", "the end"] * 3
     folder = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
