@@ -138,35 +138,60 @@ def test_pieces_count_their_own_turns(spark):
     assert packing.cut_turns([(0, False)] * 30, (10, 24, 5)) == [(0, 0, 24, 0), (0, 0, 6, 0)] and packing.cut_turns([], (10, 24, 5)) == [(0, 0, 0, 0)]
 
 
+def _near(vectors, queries, k=10):
+    """The numbers of the k nearest of all vectors for each of the queries, by brute force."""
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -9
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
 def test_neighbours_recall(spark):
+    """Of all queries that the production query asks for."""
+    for d in (DIR, "/root/testdata/sf0.1"):
+        got = queries.op4_permutation_ann(spark, d).toPandas()
+        p = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+        ids, asked = p.vec_id.to_numpy(), np.flatnonzero(p.vec_id % 20 == 0)
+        best = ids[_near(np.stack(p.embedding).astype(float), asked)]
+        found = got.groupby("vec_id").neighbour.apply(set)
+        recall = np.mean([len(found[i] & set(b)) / 10 for i, b in zip(ids[asked], best)])
+        print("recall at 10 over", d, recall)
+        assert recall >= 0.95 and len(got) == 10 * len(asked) and not got.duplicated(["vec_id", "neighbour"]).any()
+
+
+def test_neighbours_of_odd_rows(spark):
+    odd = spark.createDataFrame([(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "y"), (2, [1.0, 0.0], "z"), (3, None, ""), (4, [], ""), (5, [0.0, 0.0], ""), (None, [1.0, 1.0], ""), (6, [1.0, None], ""), (7, [1.0, float("nan")], ""), (8, [1.0, 0.0, 0.0], "")], "vec_id long, embedding array<float>, region string")
+    assert {(r.vec_id, r.neighbour, r.similarity) for r in ann.neighbours(odd, every=1).collect()} == {(1, 2, 1.0), (2, 1, 1.0)}
+    assert ann.neighbours(odd.where("false")).collect() == [] and ann.neighbours(odd.where("vec_id = 2"), every=1).collect() == [] and ann.neighbours(odd, every=100).collect() == []
+
+
+def test_ties_of_neighbours_go_to_the_lesser_id(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n for r in ann.neighbours(same, k=3, every=20).groupBy("vec_id").agg(F.sort_array(F.collect_list("neighbour")).alias("n")).collect()}
+    assert got == {0: [1, 2, 3], 20: [0, 1, 2]}
+
+
+def test_files_are_split_without_loss(spark, monkeypatch):
+    """Small blocks and lots find all that large ones do; more blocks only look at more."""
     e = spark.read.parquet(f"{DIR}/embeddings.parquet")
-    got = ann.neighbours(e).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n")).toPandas().set_index("vec_id").n
-    p = e.toPandas()
-    x = np.stack(p.embedding).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
-    np.fill_diagonal(s, -9)
-    ids = p.vec_id.to_numpy()
-    assert np.mean([len(set(got[i]) & set(ids[np.argsort(-r)[:10]])) / 10 for i, r in zip(ids, s)]) >= 0.9
-    odd = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (None, [1.0, 1.0]), (6, [1.0, None])], "vec_id long, embedding array<float>")
-    assert {(r.vec_id, r.neighbour, r.similarity) for r in ann.neighbours(odd).collect()} == {(1, 2, 1.0), (2, 1, 1.0)}
-    assert ann.neighbours(odd.where("false")).collect() == []
+    want = {(r.vec_id, r["rank"]): r.similarity for r in ann.neighbours(e, every=2).collect()}
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "LOT", 8)
+    got = {(r.vec_id, r["rank"]): r.similarity for r in ann.neighbours(e, every=2).collect()}
+    assert got.keys() == want.keys() and all(got[x] >= want[x] for x in want)
 
 
 def test_neighbours_recall_outside_a_crowd(spark):
     rng = np.random.default_rng(5)
-    n, hot = 8_000, 7_200
+    n, hot, every = 8_000, 7_200, 5
     x = rng.normal(size=(n, 64))
     x[:hot] = 0.5 * x[:hot] + 3 * rng.normal(size=64)
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.neighbours(df).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n")).toPandas().set_index("vec_id").n
-    s = x @ x.T
-    np.fill_diagonal(s, -9)
-    best = np.argpartition(-s, 10, axis=1)[:, :10]
-    found = np.array([len(set(got[i]) & set(best[i])) / 10 for i in range(n)])
-    print("recall inside and outside the crowd:", found[:hot].mean().round(3), found[hot:].mean().round(3))
-    assert found[:hot].mean() >= 0.9 and found[hot:].mean() >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, every=every).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n")).toPandas().set_index("vec_id").n
+    asked = np.arange(0, n, every)
+    found = np.array([len(set(got[i]) & set(b)) / 10 for i, b in zip(asked, _near(x, asked))])
+    print("recall inside and outside the crowd:", found[asked < hot].mean().round(3), found[asked >= hot].mean().round(3))
+    assert found[asked < hot].mean() >= 0.9 and found[asked >= hot].mean() >= 0.9
 
 
 def test_clauses_not_words():
