@@ -3,8 +3,8 @@
 Every example has three sizes: tokens, segments and loss-bearing tokens; a pack has a limit on the sum of each.
 Packs are filled one at a time: of the remaining examples that still fit, the one whose sizes (as shares of the limits)
 have the largest dot product with what is left of the pack goes in, so that a pack short of tokens but rich in loss
-budget draws the examples that match. Examples are spread by the hash of their id over groups of about `group_rows`, each packed by
-itself, so that the work is linear in the examples; at that size a group's last pack is all that is lost.
+budget draws the examples that match. Pieces are spread by the hash of their id over groups of about `group_rows`, each packed by
+itself, so that the work is linear in the examples. Packs that a group could not fill are opened again and their pieces meet those of other groups, until one group holds all that is left.
 
 An example that exceeds a limit is cut where the limit is reached; no token is lost. The sizes of the pieces are counted from its turns.
 """
@@ -12,17 +12,25 @@ An example that exceeds a limit is cut where the limit is reached; no token is l
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices
 
 TOKENS, SEGMENTS, LOSS = 4096, 24, 3072
 GROUP_ROWS = 5_000
+#: Turn numbers that are gathered in one row.
+TURNS = 4_096
+#: Share of a limit from which a pack counts as filled; packs below it in all three are opened again.
+FULL = 0.8
+#: Rows of too large groups that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -77,9 +85,13 @@ def _packer(limits: tuple[int, int, int]):
     limit = np.array(limits, dtype=np.int64)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("__order", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("__order", "piece", "first_token", "n_tokens", "n_segments", "n_loss")])
         sizes = np.stack([np.asarray(t.column(c)).astype(np.int64) for c in ("n_tokens", "n_segments", "n_loss")], axis=1)
-        return t.append_column("pack", pa.array(fill(sizes, limit), pa.int64())).select(_OUT)
+        packs = fill(sizes, limit)
+        sums = np.stack([np.bincount(packs, sizes[:, k]) for k in range(3)], axis=1)
+        # What no limit stopped may still take pieces of other groups.
+        full = (sums >= FULL * limit).any(1)
+        return t.append_column("pack", pa.array(packs, pa.int64())).append_column("full", pa.array(full[packs])).select([*_OUT, "full"])
 
     return run
 
@@ -88,13 +100,13 @@ _OUT = ["group", "pack", "example", "piece", "first_token", "n_tokens", "n_segme
 _OUT_SCHEMA = "group long, pack long, example long, piece long, first_token long, n_tokens long, n_segments long, n_loss long"
 
 
-def cut_turns(turns: list[tuple[int, bool]], limits: tuple[int, int, int]) -> list[tuple[int, int, int, int]]:
+def cut_turns(turns: Iterable[tuple[int, bool]], limits: tuple[int, int, int]) -> Iterator[tuple[int, int, int, int]]:
     """(first token, tokens, segments, loss tokens) of each piece of an example with the turns (tokens, loss).
 
     A piece ends where the next token or turn would exceed a limit; a turn that is cut is a segment of each piece that it reaches into.
     """
     tokens, segments, loss = limits
-    out, first, n, s, k = [], 0, 0, 0, 0
+    first, n, s, k = 0, 0, 0, 0
     for size, own in turns:
         rest = size
         while True:
@@ -103,19 +115,23 @@ def cut_turns(turns: list[tuple[int, bool]], limits: tuple[int, int, int]) -> li
                 n, s, k, rest = n + take, s + 1, k + take * own, rest - take
                 if not rest:
                     break
-            out.append((first, n, s, k))
+            yield first, n, s, k
             first, n, s, k = first + n, 0, 0, 0
-    return [*out, (first, n, s, k)]
+    yield first, n, s, k
 
 
 def _cutter(limits: tuple[int, int, int]):
-    def run(batches):
+    def rows(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for example, turns in zip(b.column("example").to_pylist(), b.column("turns").to_pylist()):
-                pieces = cut_turns([(max(0, t["n_tokens"] or 0), bool(t["loss"])) for t in turns or []], limits)
-                rows += [(example, i, *p) for i, p in enumerate(pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 6, names=_PIECE)
+            for example, piece, first, turns in zip(*[b.column(c).to_pylist() for c in ("example", "piece", "first_token", "turns")]):
+                every = ((max(0, t["n_tokens"] or 0), bool(t["loss"])) for t in turns or [] for _ in range(t["times"]))
+                for i, (at, *sizes) in enumerate(cut_turns(every, limits)):
+                    yield example, piece + i, first + at, *sizes
+
+    def run(batches):
+        got = rows(batches)
+        while part := list(islice(got, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=_PIECE)
 
     return run
 
@@ -127,25 +143,55 @@ def pack(examples: DataFrame, *, tokens: int = TOKENS, segments: int = SEGMENTS,
     """Packs (example, turns) or (example, n_tokens, n_segments, n_loss): (group, pack, example, piece, first_token, sizes), one row a piece.
 
     - (group, pack) names a pack. The sizes of a pack's rows stay within the limits in sum.
-    - turns are structs (n_tokens, loss) in order. An example that exceeds a limit is cut where it is reached, and each piece
+    - turns are structs (n_tokens, loss, times) in order, each taken `times` times. An example that exceeds a limit is cut where it is reached, and each piece
       has the loss tokens and the segments of the turns that it spans; a cut turn counts as a segment in each of its pieces.
     - Without turns it isn't known where the loss lies: an example over a limit becomes equal pieces, of which each has an equal share of
       the loss and the segments that it touches if they are of equal length.
     - Null sizes count as 0; n_loss is at most n_tokens; examples without tokens take their segments and no more.
-    - Repeated examples are packed each; a null example id is an id like others. An empty table gives an empty result.
-    - Ties in the heuristic go to the example with the lesser hash of its id.
+    - Repeated examples are packed each; a null example id is an id like others. An empty table gives an empty result. Other columns are ignored.
+    - Ties in the heuristic go to the example with the lesser hash of its id, then to the lesser piece and sizes.
+    - However many pieces an example of any length has, each is a row of its own.
     """
     limits = tokens, segments, loss
     if min(limits) < 1:
         raise ValueError("every limit of a pack must be 1 or more")
     if "turns" in examples.columns:
-        pieces = examples.select(F.col("example").cast("long").alias("example"), "turns").mapInArrow(_cutter(limits), ", ".join(f"{c} long" for c in _PIECE))
+        zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in examples.columns else F.lit(0).cast("long")
+        turns = F.transform("turns", lambda t: F.struct(t["n_tokens"].alias("n_tokens"), t["loss"].alias("loss"), t["times"].alias("times")))
+        pieces = examples.select(F.col("example").cast("long").alias("example"), zero("piece").alias("piece"), zero("first_token").alias("first_token"), turns.alias("turns")).mapInArrow(_cutter(limits), ", ".join(f"{c} long" for c in _PIECE))
     else:
         pieces = _even(examples, limits)
-    pieces = cut(pieces)
-    groups = max(1, -(-pieces.count() // group_rows))
+    left, done, base = cut(pieces), [], 0
+    while True:
+        # Texts were read and tokenized above; from here on rows are six numbers.
+        n = left.count()
+        groups = max(1, -(-n // group_rows))
+        packed = cut(_grouped(left, groups, group_rows).groupBy("group").applyInArrow(_packer(limits), f"{_OUT_SCHEMA}, full boolean")).withColumn("group", F.col("group") + base)
+        open_rows = packed.where("not full").count() if groups > 1 else 0
+        # Without a group less than in this round there is nothing to gain from another.
+        if -(-open_rows // group_rows) >= groups or not open_rows:
+            parts = [*done, packed.drop("full")]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+        done.append(packed.where("full").drop("full"))
+        left, base = packed.where("not full").select(*_PIECE), base + (1 << 40)
+
+
+def _grouped(pieces: DataFrame, groups: int, group_rows: int) -> DataFrame:
+    """Adds __order, the hash of the id, and group. A group that repeated or null ids make too large is split by the rows' places in the written table."""
     hashed = pieces.withColumn("__order", F.xxhash64(F.coalesce("example", F.lit(-1)), "piece")).withColumn("group", F.pmod(F.col("__order"), F.lit(groups)))
-    return hashed.groupBy("group").applyInArrow(_packer(limits), _OUT_SCHEMA)
+    large = hashed.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 2 * group_rows).select(F.col("group").alias("__g"), F.ceil(F.col("n") / group_rows).alias("__parts"))
+    large = cut(large)  # groups by hash are of a size: only ids that repeat make one large, so that there are at most rows / (2 x group_rows) of them
+    count = large.count()
+    if not count:
+        return hashed
+    if count <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    split = hashed.withColumn("__at", F.monotonically_increasing_id()).join(large, F.col("group") == F.col("__g"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("__at"), F.col("__parts")), F.lit(0))
+    return split.withColumn("group", F.col("group") + part * groups).drop("__at", "__g", "__parts")
 
 
 def _even(examples: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
@@ -165,20 +211,29 @@ def _even(examples: DataFrame, limits: tuple[int, int, int]) -> DataFrame:
     return e.select("example", "piece", at("n_tokens", F.col("piece")).alias("first_token"), share("n_tokens"), touched, share("n_loss"))
 
 
-def _turns(turns: Column) -> Column:
-    return F.transform(turns, lambda t: F.struct(t["n_tokens"].alias("n_tokens"), t["loss"].alias("loss"))).alias("turns")
-
-
 def conversation_examples(conversations: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One example a conversation: its sizes and turns, in order; a segment a turn, and the assistant's tokens as loss-bearing ones.
+    """(example, piece, first_token, turns) of each conversation: its turns in order; a segment a turn, and the assistant's tokens as loss-bearing ones.
 
-    Null texts have no tokens; a null role bears no loss; turns with a null conv_id form one conversation.
+    - Null texts have no tokens; a null role bears no loss. A turn with a null conv_id is a conversation of its own; a null turn number comes first.
+    - Turns are gathered by runs of TURNS turn numbers, each a row with the number of its first piece and its first token, so that no conversation, however
+      long, is one row; equal turns that repeat are counted, not listed. An empty table gives an empty result.
     """
-    turns = count_tokens(conversations, F.col("text"), F.col("conv_id").cast("long").alias("example"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("own"), tokenizer=tokenizer)
-    return turns.groupBy("example").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum(F.when(F.col("own"), F.col("n_tokens")).otherwise(0)).alias("n_loss"), _turns(F.array_sort(F.collect_list(F.struct("turn", "n_tokens", F.col("own").alias("loss"))))))
+    own = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    turns = count_tokens(conversations, F.col("text"), F.col("conv_id").cast("long").alias("example"), F.col("turn").cast("long").alias("turn"), own.alias("own"), tokenizer=tokenizer)
+    counted = turns.withColumn("alone", F.when(F.col("example").isNull(), F.monotonically_increasing_id())).groupBy("example", "alone", "turn", "n_tokens", "own").agg(F.count("*").alias("times"))
+    run = counted.withColumn("run", F.floor(F.coalesce("turn", F.lit(0)) / TURNS)).groupBy("example", "alone", "run").agg(
+        F.sum(F.col("n_tokens") * F.col("times")).alias("n"), F.array_sort(F.collect_list(F.struct("turn", "n_tokens", F.col("own").alias("loss"), "times"))).alias("turns")
+    )
+    before = Window.partitionBy("example", "alone").orderBy("run")
+    return run.select(
+        "example", (F.row_number().over(before).cast("long") - 1).alias("k"), (F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first_token"), "turns"
+    ).select("example", (F.col("k") * (1 << 32)).alias("piece"), "first_token", "turns")
 
 
 def document_examples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """One example a document: a single segment whose tokens all bear loss."""
+    """One example a document: a single segment whose tokens all bear loss.
+
+    Null and empty texts have no tokens. Null ids are ids like others, repeated rows are examples each; an empty table gives an empty result.
+    """
     counted = count_tokens(docs, F.col(text_col), F.col(id_col).cast("long").alias("example"), tokenizer=tokenizer)
-    return counted.select("example", "n_tokens", F.lit(1).alias("n_segments"), F.col("n_tokens").alias("n_loss"), _turns(F.array(F.struct("n_tokens", F.lit(True).alias("loss")))))
+    return counted.select("example", F.array(F.struct("n_tokens", F.lit(True).alias("loss"), F.lit(1).alias("times"))).alias("turns"))

@@ -135,7 +135,88 @@ def test_pieces_count_their_own_turns(spark):
     assert got == {(1, 0): (0, 4096, 2, 96), (1, 1): (4096, 3072, 1, 3072), (1, 2): (7168, 832, 1, 832), (2, 0): (0, 12, 2, 7)}
     e = packing.document_examples(spark.createDataFrame([(1, word * 7000)], "doc_id long, text string"))
     assert sorted(tuple(r)[4:] for r in packing.pack(e).collect()) == [(0, 3072, 1, 3072), (3072, 3072, 1, 3072), (6144, 856, 1, 856)]
-    assert packing.cut_turns([(0, False)] * 30, (10, 24, 5)) == [(0, 0, 24, 0), (0, 0, 6, 0)] and packing.cut_turns([], (10, 24, 5)) == [(0, 0, 0, 0)]
+    assert list(packing.cut_turns([(0, False)] * 30, (10, 24, 5))) == [(0, 0, 24, 0), (0, 0, 6, 0)] and list(packing.cut_turns([], (10, 24, 5))) == [(0, 0, 0, 0)]
+
+
+def _by_tokens(turns, limits):
+    """Sizes of the pieces of an example, token by token."""
+    out, n, seg, loss, first, at = [], 0, 0, 0, 0, 0
+    for size, own in turns:
+        fresh = True
+        for _ in range(max(size, 1)):
+            one = int(size > 0)
+            if n + one > limits[0] or loss + one * own > limits[2] or fresh and seg + 1 > limits[1]:
+                out.append((first, n, seg, loss))
+                n, seg, loss, first, fresh = 0, 0, 0, at, True
+            n, loss, at, seg, fresh = n + one, loss + one * own, at + one, seg + fresh, False
+    return [*out, (first, n, seg, loss)]
+
+
+def _by_hand(rows, limits):
+    """Packs of (order key, sizes) by the dot-product heuristic in exact fractions."""
+    from fractions import Fraction
+
+    left, packs = sorted(rows), []
+    while left:
+        room, mine = list(limits), []
+        while fitting := [r for r in left if all(a <= b for a, b in zip(r[1], room))]:
+            dot = lambda r: sum(Fraction(a, t) * Fraction(b, t) for a, b, t in zip(r[1], room, limits))
+            best = max(fitting, key=dot)
+            mine.append(best)
+            left.remove(best)
+            room = [b - a for a, b in zip(best[1], room)]
+        packs.append(sorted(mine))
+    return packs
+
+
+def test_pieces_and_packs_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    limits = (64, 6, 32)
+    for _ in range(300):
+        turns = [(int(rng.integers(0, 90)) if rng.random() < 0.3 else int(rng.integers(0, 20)), bool(rng.random() < 0.5)) for _ in range(rng.integers(0, 12))]
+        assert list(packing.cut_turns(turns, limits)) == _by_tokens(turns, limits)
+    # Sizes that are powers of two make all products exact, so that ties are ties in floats, too.
+    sizes = np.stack([2 ** rng.integers(0, 6, 120), rng.integers(0, 4, 120), 2 ** rng.integers(0, 5, 120)], axis=1)
+    keys = [(k, tuple(map(int, r))) for k, r in enumerate(sizes)]
+    got = packing.fill(sizes, np.array([64, 8, 32]))
+    assert [sorted(keys[i] for i in np.flatnonzero(got == p)) for p in range(got.max() + 1)] == _by_hand(keys, (64, 8, 32))
+
+
+def test_conversations_against_brute_force(spark):
+    """The whole of op3's examples: turns by a tokenizer of another library, pieces token by token."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.VOCABULARY)
+    rows = spark.read.parquet(f"{DIR}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    turns = collections.defaultdict(list)
+    for r in rows:
+        turns[r.conv_id].append((len(t.encode(r.text, add_special_tokens=False).ids), r.role == "assistant"))
+    limits = (256, 5, 128)
+    got = packing.pack(packing.conversation_examples(spark.read.parquet(f"{DIR}/conversations.parquet")), tokens=256, segments=5, loss=128).toPandas()
+    have = {(r.example, r.piece): (r.first_token, r.n_tokens, r.n_segments, r.n_loss) for r in got.itertuples()}
+    assert have == {(c, i): p for c, ts in turns.items() for i, p in enumerate(_by_tokens(ts, limits))}
+    assert (got.groupby(["group", "pack"])[["n_tokens", "n_segments", "n_loss"]].sum() <= list(limits)).all().all()
+
+
+def test_odd_conversations(spark):
+    rows = [(None, 0, "user", " one"), (None, 0, "user", " one"), (1, None, "assistant", " one"), (1, 5, None, None), (1, 5_000, "assistant", " one one"), (1, 9_000, "user", ""), *[(2, 3, "user", " one")] * 60]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, run int, alone int")
+    got = packing.pack(packing.conversation_examples(df)).toPandas()
+    assert len(got[got.example.isna()]) == 2
+    one = got[got.example == 1].sort_values("piece")
+    assert one[["piece", "first_token", "n_tokens", "n_segments", "n_loss"]].values.tolist() == [[0, 0, 1, 2, 1], [1 << 32, 1, 2, 1, 2], [2 << 32, 3, 0, 1, 0]]
+    assert sorted(got[got.example == 2].n_segments) == [12, 24, 24] and packing.pack(packing.conversation_examples(df.where("false"))).collect() == []
+
+
+def test_repeated_ids_are_spread_and_open_packs_are_filled(spark):
+    rows = [(None, 700, 1, 500)] * 900 + [(7, 300, 1, 20)] * 900 + [(i, 40 + i % 900, 2, i % 40) for i in range(600)]
+    df = spark.createDataFrame(rows, "example long, n_tokens long, n_segments long, n_loss long")
+    got = packing.pack(df, group_rows=100).toPandas()
+    assert len(got) == len(rows) and got.groupby("group").size().max() <= 250
+    sums = got.groupby(["group", "pack"])[["n_tokens", "n_segments", "n_loss"]].sum()
+    assert (sums <= [packing.TOKENS, packing.SEGMENTS, packing.LOSS]).all().all()
+    # Of 24 groups each would leave a pack part-filled: of all packs, few are.
+    assert (sums.n_tokens < 0.5 * packing.TOKENS).sum() <= 4
 
 
 def _near(vectors, queries, k=10):
