@@ -215,8 +215,8 @@ def test_repeated_ids_are_spread_and_open_packs_are_filled(spark):
     assert len(got) == len(rows) and got.groupby("group").size().max() <= 250
     sums = got.groupby(["group", "pack"])[["n_tokens", "n_segments", "n_loss"]].sum()
     assert (sums <= [packing.TOKENS, packing.SEGMENTS, packing.LOSS]).all().all()
-    # Of 24 groups each would leave a pack part-filled: of all packs, few are.
-    assert (sums.n_tokens < 0.5 * packing.TOKENS).sum() <= 4
+    # Of 24 groups each would leave a pack that no size fills: of all packs, hardly one is.
+    assert (sums < [0.8 * packing.TOKENS, 0.8 * packing.SEGMENTS, 0.8 * packing.LOSS]).all(axis=1).sum() <= 2
 
 
 def _near(vectors, queries, k=10):
