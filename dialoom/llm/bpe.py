@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import PATTERN, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++(?!\S)|\s+(?!\S)|\s"
 #: Encoded pieces that a worker remembers.
 REMEMBER = 400_000
+UNKNOWN = "\ufffd".encode()
 
 
 def byte_letters() -> dict[int, str]:
@@ -116,7 +116,8 @@ class Vocabulary:
         return [x.tolist() for x in np.split(ids[kept], np.cumsum(counts)[:-1])]
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
+        """The text of the tokens. An id that isn't in the vocabulary, or null, and bytes that aren't UTF-8 give U+FFFD."""
+        return b"".join([self.bytes.get(i, UNKNOWN) for i in ids]).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -194,7 +195,11 @@ def _decode(path: str):
 
 
 def decode(tokens: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, token_ids); null ids give a null text."""
+    """(doc_id, text) of (doc_id, token_ids).
+
+    A null list gives a null text, an empty one an empty text; ids that the vocabulary hasn't, and nulls in a list, give U+FFFD each. Repeated rows give
+    repeated rows, lists of any length are decoded whole; an empty table gives an empty result. Other columns are ignored.
+    """
     return tokens.select("doc_id", "token_ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 

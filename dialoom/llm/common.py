@@ -44,9 +44,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: How GPT-like byte-level tokenizers cut a text into pieces; possessive where that changes nothing but the time.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Paths made by new_path that nobody has removed.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder, for tables that Spark writes."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more, wherever they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import PATTERN, cut, slices
 
 TOKENS, SEGMENTS, LOSS = 4096, 24, 3072
 GROUP_ROWS = 5_000
@@ -32,7 +32,6 @@ FULL = 0.8
 #: Rows of too large groups that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def _counter(path: str):
