@@ -97,6 +97,8 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "k1", "k2", "pos")
     )
     order = ["h1", "h2", "k1", "k2", "pos"]
+    # Written once: texts are split and hashed here, and neither the count nor the sampling of ranges nor the shuffle does it again.
+    lines = cut(lines)
     n = lines.count()
     ranged = lines.repartitionByRange(max(1, -(-n // task_lines)) if n > task_lines else max(1, min(8, -(-n // 50_000))), *order).sortWithinPartitions(*order)
     found = cut(ranged.mapInArrow(_stream, _FOUND))
@@ -131,7 +133,8 @@ def keep_lines(text: Column, runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of their text; a document that loses all of them goes.
 
-    Columns stay as they are. A document without dropped lines keeps its text untouched, null included.
+    Columns stay as they are, whatever their names. A document without dropped lines keeps its text untouched, null included. Rows that repeat a
+    document stay or go together, with equal texts. Of equal lines the first by id, text key and position is kept. An empty table gives an empty result.
     """
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     bitmaps = line_bitmaps(docs, id_col=id_col, text_col=text_col).where("n_kept < n_lines")
