@@ -2,8 +2,8 @@
 
 Statistics of a text are integers. Each goes into a log-linear bucket (16 buckets an octave, so that a
 bucket's bounds differ by at most 1/16); the counts of the buckets are the sketch. Sketches merge by adding
-counts: Spark combines them on the map side, and merges those of all sources of a language, and of all
-languages, for groups that are too small to have quartiles of their own.
+counts: Spark combines them on the map side. The sketch that a group's quartiles come from is its own merged with those of its language and of
+the whole table, which weigh as much as PRIOR documents each: the more documents a group has, the less they count, without any switch.
 
 A fence lies `reach` interquartile ranges beyond a quartile, and at least a statistic's own least width away.
 Documents outside any fence go.
@@ -22,8 +22,10 @@ from .common import cut, mix64, new_path, row_key, slices
 #: name -> (least width of the upper fence, of the lower fence); None: no such fence.
 STATS = {"symbols": (40, None), "capitals": (150, None), "repeats": (100, None), "digits": (150, None), "word_size": (400, 250)}
 REACH = 3
-#: Documents that a group needs for quartiles of its own.
-LEAST = 100
+#: Documents that the sketch of a group's language counts as beside its own, and that of the whole table.
+PRIOR = 50
+#: Parts of a document in which merged counts are kept, as whole numbers.
+PARTS = 10_000
 #: Threshold rows that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -116,27 +118,26 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.select("lang", "source", pairs).groupBy("lang", "source", "p.stat", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, *, reach: int = REACH, least: int = LEAST) -> DataFrame:
+def thresholds(sketch: DataFrame, *, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """(lang, source, and <stat>_lo, <stat>_hi for each statistic): the fences of each group that has a document."""
-    own = sketch.select(F.lit(0).alias("level"), "lang", "source", "stat", "bucket", "n")
-    lang = own.groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "stat", "bucket", "n")
-    whole = lang.groupBy("stat", "bucket").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "stat", "bucket", "n")
-    group = ["level", "lang", "source", "stat"]
+    own = sketch.withColumn("g", row_key(F.col("lang"), F.col("source"))).withColumn("l", row_key(F.col("lang")))
+    groups = own.groupBy("g", "l").agg(F.first("lang").alias("lang"), F.first("source").alias("source"))
+    share = lambda n, of: F.expr(f"(`{n}` * {prior * PARTS}L) div sum(`{n}`) over (partition by {', '.join(of)})")
+    lang = own.groupBy("l", "stat", "bucket").agg(F.sum("n").alias("n")).select("l", "stat", "bucket", share("n", ["l", "stat"]).alias("ln"))
+    whole = own.groupBy("stat", "bucket").agg(F.sum("n").alias("n")).select("stat", "bucket", share("n", ["stat"]).alias("wn"))
+    # The buckets of a statistic are bounded: 16 an octave.
+    every = groups.select("*", F.explode(F.array(*map(F.lit, STATS))).alias("stat")).join(F.broadcast(whole), "stat")
+    merged = every.join(own.select("g", "stat", "bucket", "n"), ["g", "stat", "bucket"], "left").join(lang, ["l", "stat", "bucket"], "left")
+    mass = F.coalesce("n", F.lit(0)) * PARTS + F.coalesce("ln", F.lit(0)) + F.col("wn")
+    group = ["g", "lang", "source", "stat"]
     by = Window.partitionBy(*group)
-    run = own.unionByName(lang).unionByName(whole).withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
+    run = merged.withColumn("m", mass).withColumn("total", F.sum("m").over(by)).withColumn("upto", F.sum("m").over(by.orderBy("bucket")))
     reached = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    quartiles = run.groupBy(*group).agg(F.max("total").alias("total"), bucket_floor(reached(1)).alias("q1"), bucket_floor(reached(3)).alias("q3"))
+    quartiles = run.groupBy(*group).agg(bucket_floor(reached(1)).alias("q1"), bucket_floor(reached(3)).alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * reach
     table = lambda k: F.create_map(*[x for s, w in STATS.items() for x in (F.lit(s), F.lit(w[k]).cast("long"))])[F.col("stat")]
-    fences = quartiles.select(*group, "total", (F.col("q3") + F.greatest(spread, table(0))).alias("hi"), (F.col("q1") - F.greatest(spread, table(1))).alias("lo"))
-    fences = fences.withColumn("lo", F.when(table(1).isNotNull(), F.col("lo")))
-    wide = cut(fences.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("stat") == s, F.col(c))).alias(f"{s}_{c}") for s in STATS for c in ("lo", "hi")]))
-    named = lambda level: wide.where(F.col("level") == level).drop("level")
-    pick = lambda *ts: [
-        F.when(F.col("a.total") >= least, F.col(f"a.{s}_{c}")).when(F.col("b.total") >= least, F.col(f"b.{s}_{c}")).otherwise(F.col(f"c.{s}_{c}")).alias(f"{s}_{c}") for s in STATS for c in ("lo", "hi")
-    ]
-    a, b, c = named(0).alias("a"), named(1).alias("b"), named(2).alias("c")
-    return a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).crossJoin(c).select("a.lang", "a.source", *pick())
+    fences = quartiles.select(*group, (F.col("q3") + F.greatest(spread, table(0))).alias("hi"), F.when(table(1).isNotNull(), F.col("q1") - F.greatest(spread, table(1))).alias("lo"))
+    return fences.groupBy("g", "lang", "source").agg(*[F.max(F.when(F.col("stat") == s, F.col(c))).alias(f"{s}_{c}") for s in STATS for c in ("lo", "hi")]).drop("g")
 
 
 def _fits() -> Column:
@@ -148,21 +149,21 @@ def _fits() -> Column:
     return ok
 
 
-def _inside(rows: DataFrame, reach: int, least: int) -> DataFrame:
+def _inside(rows: DataFrame, reach: int, prior: int) -> DataFrame:
     """The measured rows, with lang and source, that lie inside all fences."""
-    limits = cut(thresholds(cut(sketches(rows)), reach=reach, least=least))
+    limits = cut(thresholds(cut(sketches(rows)), reach=reach, prior=prior))
     limits = limits.select(row_key(F.col("lang"), F.col("source")).alias("__g"), *[F.col(f"{s}_{c}").alias(f"__{s}_{c}") for s in STATS for c in ("lo", "hi")])
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     return rows.withColumn("__g", row_key(F.col("lang"), F.col("source"))).join(limits, "__g").where(_fits())
 
 
-def quality_kept(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = REACH, least: int = LEAST) -> DataFrame:
+def quality_kept(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """The rows of docs that pass all rules, with their columns as they are.
 
     - A null text counts as an empty one; its ratios are 0 and it passes the upper fences.
     - Null languages and sources are groups like others. Repeated rows each count. Ties can't matter: fences are inclusive.
-    - A group below `least` documents takes the fences of its language, a small language those of the whole table.
+    - A group's fences come from its own sketch merged with those of its language and of the whole table, which count as `prior` documents each.
     - An empty table gives an empty result. Other columns travel along untouched, whatever their names.
     """
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
@@ -170,13 +171,13 @@ def quality_kept(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     path = new_path(docs.sparkSession, "measured")
     measured(docs, F.col(text_col), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *inner).write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
-    return _inside(rows, reach, least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return _inside(rows, reach, prior).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = REACH, least: int = LEAST) -> DataFrame:
+def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """Kept documents with their statistics: id, lang, source and one column a statistic. See quality_kept."""
     rows = cut(measured(docs, F.col(text_col), F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")))
-    return _inside(rows, reach, least).select("doc_id", "lang", "source", *STATS)
+    return _inside(rows, reach, prior).select("doc_id", "lang", "source", *STATS)
 
 
 def _sql() -> str:
@@ -193,25 +194,24 @@ def _sql() -> str:
     floor = lambda x: f"CASE WHEN {x} < 32 THEN {x} ELSE CAST(({x} % 16 + 16) * pow(2.0, {x} // 16 - 1) AS BIGINT) END"
     wide = "CASE stat " + " ".join(f"WHEN '{s}' THEN {w[0]}" for s, w in STATS.items()) + " END"
     low = "CASE stat " + " ".join(f"WHEN '{s}' THEN {w[1]}" for s, w in STATS.items() if w[1] is not None) + " END"
-    fits = " AND ".join(f"(CASE WHEN a.n >= {LEAST} THEN a.hi WHEN l.n >= {LEAST} THEN l.hi ELSE g.hi END) >= p.v AND coalesce((CASE WHEN a.n >= {LEAST} THEN a.lo WHEN l.n >= {LEAST} THEN l.lo ELSE g.lo END) <= p.v, true)" for _ in [0])
+    fits = "f.hi >= p.v AND coalesce(f.lo <= p.v, true)"
     return f"""
 WITH base AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 cut AS (SELECT *, string_split(translate(t, chr(10) || chr(9) || chr(13), '   '), ' ') AS ws FROM base),
 m AS (SELECT doc_id, lang, source, {", ".join(f"CAST({e} AS BIGINT) AS {s}" for s, e in values.items())} FROM cut),
 p AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{s}' AS stat, {s} AS v FROM m" for s in STATS)}),
 b AS (SELECT lang, source, stat, {b} AS bucket, count(*) AS n FROM p GROUP BY ALL),
-lv AS (SELECT 0 AS level, lang, source, stat, bucket, n FROM b
-  UNION ALL SELECT 1, lang, NULL, stat, bucket, sum(n) FROM b GROUP BY lang, stat, bucket
-  UNION ALL SELECT 2, NULL, NULL, stat, bucket, sum(n) FROM b GROUP BY stat, bucket),
-r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, stat) AS total, sum(n) OVER (PARTITION BY level, lang, source, stat ORDER BY bucket) AS upto FROM lv),
-qb AS (SELECT level, lang, source, stat, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS b1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS b3 FROM r GROUP BY ALL),
-q AS (SELECT level, lang, source, stat, n, {floor("b1")} AS q1, {floor("b3")} AS q3 FROM qb),
-f AS (SELECT level, lang, source, stat, n, q3 + greatest({REACH} * (q3 - q1), {wide}) AS hi, CASE WHEN {low} IS NOT NULL THEN q1 - greatest({REACH} * (q3 - q1), {low}) END AS lo FROM q),
-bad AS (SELECT DISTINCT p.doc_id FROM p
-  JOIN f a ON a.level = 0 AND a.stat = p.stat AND a.lang IS NOT DISTINCT FROM p.lang AND a.source IS NOT DISTINCT FROM p.source
-  JOIN f l ON l.level = 1 AND l.stat = p.stat AND l.lang IS NOT DISTINCT FROM p.lang
-  JOIN f g ON g.level = 2 AND g.stat = p.stat
-  WHERE NOT ({fits}))
+lg AS (SELECT lang, stat, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, stat) AS total FROM b GROUP BY lang, stat, bucket),
+wh AS (SELECT stat, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY stat) AS total FROM b GROUP BY stat, bucket),
+g AS (SELECT DISTINCT lang, source FROM b),
+k AS (SELECT g.lang, g.source, wh.stat, wh.bucket, coalesce(b.n, 0) * {PARTS} + coalesce(lg.n * {PRIOR * PARTS} // lg.total, 0) + wh.n * {PRIOR * PARTS} // wh.total AS mass FROM g CROSS JOIN wh
+  LEFT JOIN b ON b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source AND b.stat = wh.stat AND b.bucket = wh.bucket
+  LEFT JOIN lg ON lg.lang IS NOT DISTINCT FROM g.lang AND lg.stat = wh.stat AND lg.bucket = wh.bucket),
+r AS (SELECT *, sum(mass) OVER (PARTITION BY lang, source, stat) AS total, sum(mass) OVER (PARTITION BY lang, source, stat ORDER BY bucket) AS upto FROM k),
+qb AS (SELECT lang, source, stat, min(CASE WHEN upto * 4 >= total THEN bucket END) AS b1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS b3 FROM r GROUP BY ALL),
+q AS (SELECT lang, source, stat, {floor("b1")} AS q1, {floor("b3")} AS q3 FROM qb),
+f AS (SELECT lang, source, stat, q3 + greatest({REACH} * (q3 - q1), {wide}) AS hi, CASE WHEN {low} IS NOT NULL THEN q1 - greatest({REACH} * (q3 - q1), {low}) END AS lo FROM q),
+bad AS (SELECT DISTINCT p.doc_id FROM p JOIN f ON f.stat = p.stat AND f.lang IS NOT DISTINCT FROM p.lang AND f.source IS NOT DISTINCT FROM p.source WHERE NOT ({fits}))
 SELECT doc_id, lang, source, {", ".join(STATS)} FROM m WHERE doc_id NOT IN (SELECT doc_id FROM bad)"""
 
 
