@@ -11,6 +11,7 @@ Where little text is left that way, the page is read again without the hints of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -39,18 +40,25 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "bad")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "bad")
 
     def __init__(self, tag, parent, bad=False):
         self.tag, self.parent, self.bad = tag, parent, bad
         self.children: list = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.commas = 0.0, 0, 0, 0
 
 
 def parse(html: str, hints: bool = True, drop: frozenset = _DROP) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers mostly do. hints and drop: what marks boilerplate."""
     root = node = Node("html", None)
     at, end = 0, len(html)
+    # Open elements by tag, so that a stray closing tag isn't sought up to the root.
+    opened: Counter[str] = Counter()
+
+    def leave(n: Node) -> Node:
+        opened[n.tag] -= 1
+        return n.parent
+
     while at < end:
         m = _PART.search(html, at)
         stop = m.start() if m else end
@@ -66,11 +74,10 @@ def parse(html: str, hints: bool = True, drop: frozenset = _DROP) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                while node.tag != tag:
+                    node = leave(node)
+                node = leave(node)
             continue
         if tag in _RAW:
             closing = _RAW[tag].search(html, at)
@@ -79,35 +86,39 @@ def parse(html: str, hints: bool = True, drop: frozenset = _DROP) -> Node:
         if tag in ("html", "body") and node is root and tag == "html":
             continue
         while node.parent is not None and tag in _CLOSES.get(node.tag, ()):
-            node = node.parent
+            node = leave(node)
         if node.tag == "head" and node.parent is not None and tag not in _IN_HEAD:
-            node = node.parent
+            node = leave(node)
         if tag == "br" or tag == "hr":
             node.children.append("\n")
         elif tag not in _VOID and not m["rest"].endswith("/"):
             bad = tag not in _WHOLE and (node.bad or tag in drop or hints and tag not in _NO_HINT and bool(_HINT.search(m["rest"])))
             if node.tag == "p" and tag in _BLOCK and node.parent is not None:
-                node = node.parent
+                node = leave(node)
             new = Node(tag, node, bad)
+            opened[tag] += 1
             node.children.append(new)
             node = new
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Fills in chars and linked of each node; nodes in document order."""
+    """Fills in chars, linked and commas of each node; nodes in document order."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
     for n in reversed(order):
-        n.chars += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        own = [c for c in n.children if isinstance(c, str)]
+        n.chars += sum(len(c.strip()) for c in own)
+        n.commas += sum(c.count(",") + c.count("，") + c.count("、") for c in own)
         if n.tag == "a":
             n.linked = n.chars
         if n.parent is not None:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
+            n.parent.commas += n.commas
     return order
 
 
@@ -159,8 +170,7 @@ def _read(root: Node) -> tuple[str, float]:
             continue
         if n.chars < 25:
             continue
-        commas = sum(c.count(",") + c.count("，") + c.count("、") for c in _strings(n))
-        points = 1 + commas + min(n.chars // 100, 3)
+        points = 1 + n.commas + min(n.chars // 100, 3)
         up, level = n.parent, 0
         while up is not None and level < len(_SHARES):
             if up.score == 0.0:
