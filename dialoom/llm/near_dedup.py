@@ -156,7 +156,7 @@ def _walk(need: int, reach: int):
             # The rows at both edges of the task, for pairs that lie across two tasks.
             for side, (s, t, i) in ((1, head), (2, keep)):
                 k = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array([pid] * k, pa.int32()), pa.array([side] * k, pa.int32()), pa.array(t.astype(np.int32)), pa.array(np.arange(k), pa.int64()), pa.array(i.astype(np.int64)), pa.array([r.astype(">u2").tobytes() for r in s], pa.binary())], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([pid] * k, pa.int32()), pa.array([side] * k, pa.int32()), pa.array(t.astype(np.int32)), pa.array(np.arange(k) if side == 1 else np.arange(k) - k, pa.int64()), pa.array(i.astype(np.int64)), pa.array([r.astype(">u2").tobytes() for r in s], pa.binary())], names=_NAMES)
 
     return run
 
@@ -184,11 +184,11 @@ def edges(docs: DataFrame, *, id_col: str, text_col: str, trees: int, threshold:
     # Edge rows: the last rows of a task against the first ones of the next task that has any. Two small rows a task.
     rim = found.where("side > 0")
     tasks = rim.select("pid").distinct().withColumn("next", F.lead("pid").over(Window.orderBy("pid")))
-    left = rim.where("side = 2").join(tasks, "pid").select("next", F.col("tree").alias("lt"), F.col("b").alias("la"), F.col("sig").alias("ls"))
-    right = rim.where("side = 1").select(F.col("pid").alias("next"), F.col("tree").alias("rt"), F.col("b").alias("ra"), F.col("sig").alias("rs"))
+    left = rim.where("side = 2").join(tasks, "pid").select("next", F.col("a").alias("lk"), F.col("tree").alias("lt"), F.col("b").alias("la"), F.col("sig").alias("ls"))
+    right = rim.where("side = 1").select(F.col("pid").alias("next"), F.col("a").alias("rk"), F.col("tree").alias("rt"), F.col("b").alias("ra"), F.col("sig").alias("rs"))
     slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
     equal = F.size(F.filter(slots, lambda i: F.substring(F.hex("ls"), i * 4 + 1, F.lit(4)) == F.substring(F.hex("rs"), i * 4 + 1, F.lit(4))))
-    across = left.join(right, "next").where("lt = rt and la <> ra").where(equal >= need)
+    across = left.join(right, "next").where("lt = rt and la <> ra").where(F.col("rk") - F.col("lk") <= reach).where(equal >= need)
     across = across.select(F.least("la", "ra").alias("a"), F.greatest("la", "ra").alias("b"))
     candidates = cut(inner.unionByName(across).where("a <> b").distinct())
     # Equal signatures need no look at the texts: at a similarity of 0.5 they have a chance of 2^-64.
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     - Rows with a null id, and texts that are null or have no word, belong to no group.
     - Rows that repeat an id are one document. An empty table gives an empty result.
     - Texts count whole, whatever their length; a text of one word has that word as its only shingle.
+    - Other columns are ignored, whatever their names. Pairs are sought by one rule within and across tasks, so that their number changes nothing.
     """
     found = edges(docs, id_col=id_col, text_col=text_col, trees=trees, threshold=threshold, reach=reach)
     return components(found).select(F.col("member").alias(id_col), F.col("root").alias("duplicate_of"))
