@@ -134,6 +134,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     rows = cut(measured(docs, F.col(text_col), F.col(id_col).cast("long").alias("doc_id"), names=NAMES))
     mark = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so small enough to broadcast
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *NAMES).toPandas()
+    # One row a labelled document, the least by its statistics, so that rows that repeat an id don't come to the driver.
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*NAMES)).alias("s"))
+    got = one.select("doc_id", "y", "s.*").toPandas().sort_values("doc_id", ignore_index=True)
     intercept, rules = fit(got[list(NAMES)].to_numpy(dtype=np.int64), got["y"].to_numpy(dtype=np.float64))
     return rows.select("doc_id", F.round(compiled(intercept, rules), 6).alias("score")).where(F.col("score") >= threshold)
