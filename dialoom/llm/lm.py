@@ -3,7 +3,7 @@
 Characters are symbols of 12 bits: code points below 2,048 stand for themselves, others are hashed into 2,046 more; two
 symbols mark the start and the end of a text. So characters of Han, kana, Hangul and other scripts share symbols, and texts of them may be
 taken for each other. A 5-gram is 60 bits, and the stored hash of an n-gram of symbols (a bijection of those bits) never collides. Tasks count the 5-grams of their texts, Spark adds them up; lower orders hold continuation
-counts: the number of different symbols before an n-gram. Three discounts an order come from the counts of counts.
+counts: the number of different symbols before an n-gram; n-grams that begin with a text's start hold raw counts. Three discounts an order come from the counts of counts.
 
 The model is stored as arrays sorted by hash in the folder that all workers share: for each order the discounted probabilities
 of the n-grams, and the weights that their contexts leave to the next lower order. Workers map the files into memory.
@@ -101,7 +101,7 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [max(0.01, min(k, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3)]
 
 
-def _write(folder: str, name: str):
+def _write(folder: str, name: str, bits: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -112,7 +112,7 @@ def _write(folder: str, name: str):
         h = mix64(np.concatenate([k for k, _ in parts]).astype(np.uint64))
         v = np.concatenate([x for _, x in parts]).astype(np.float32)
         order = np.argsort(h)
-        stem = f"{name}-{task.partitionId():06d}"
+        stem = f"{name}-{int(h[0] >> np.uint64(64 - bits)) if bits else 0:06d}"
         for what, a in (("hash", h[order]), ("value", v[order])):
             # Written aside and renamed: a second attempt at the task puts the same file in the same place.
             aside = os.path.join(folder, f".{stem}.{what}.{task.taskAttemptId()}")
@@ -124,11 +124,22 @@ def _write(folder: str, name: str):
     return run
 
 
-def _store(df: DataFrame, folder: str, name: str, n: int) -> list[str]:
-    """Writes (key, v) as files sorted by hash; each file holds the keys of one value of the hash partitioning."""
-    files = max(1, -(-n // FILE_ROWS))
-    got = df.repartition(files, "key").mapInArrow(_write(folder, name), "stem string, n long").collect()
-    return sorted(r.stem for r in got)
+def _store(df: DataFrame, folder: str, name: str, n: int) -> list[str | None]:
+    """Writes (key, v) as files sorted by hash, a power of two of them: the file is named by the leading bits of its keys' hashes."""
+    bits = max(0, (max(1, -(-n // FILE_ROWS)) - 1).bit_length())
+    got = df.mapInArrow(_lead(bits), "key long, v double, lead int").repartitionById(1 << bits, "lead").mapInArrow(_write(folder, name, bits), "stem string, n long").collect()
+    stems = {int(r.stem.rpartition("-")[2]): r.stem for r in got}
+    return [stems.get(i) for i in range(1 << bits)]
+
+
+def _lead(bits: int):
+    def run(batches):
+        for b in batches:
+            h = mix64(np.asarray(b.column("key")).astype(np.uint64))
+            lead = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(b.num_rows, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), pa.array(lead)], names=["key", "v", "lead"])
+
+    return run
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> str:
@@ -151,28 +162,37 @@ def train(docs: DataFrame, *, text_col: str = "text") -> str:
         meta["files"][f"g{n}"] = _store(contexts.select(F.col("h").alias("key"), (F.col("lost") / F.col("total")).alias("v")), folder, f"g{n}", contexts.count())
         if n > 1:
             mask = (1 << BITS * (n - 1)) - 1
-            counts = cut(counts.select((F.col("key").bitwiseAND(F.lit(mask))).alias("key")).groupBy("key").agg(F.count("*").alias("c")))
+            lower = F.col("key").bitwiseAND(F.lit(mask))
+            # Nothing stands before a text's start: n-grams that begin there keep their raw counts.
+            first = F.shiftright(lower, BITS * (n - 2)) == START
+            counts = cut(counts.select(lower.alias("key"), F.when(first, F.col("c")).otherwise(1).alias("c")).groupBy("key").agg(F.sum("c").alias("c")))
     with open(os.path.join(folder, "model.json"), "w") as f:
         json.dump(meta, f)
     return folder
 
 
 class Table:
-    """Sorted hash arrays in mapped files. A key is in one of the files."""
+    """Sorted hash arrays in mapped files. The leading bits of a key's hash name its file, so that each key is sought in one."""
 
-    def __init__(self, folder: str, stems: list[str]):
-        self.parts = [tuple(np.load(os.path.join(folder, f"{s}.{w}.npy"), mmap_mode="r") for w in ("hash", "value")) for s in stems]
+    def __init__(self, folder: str, stems: list[str | None]):
+        self.bits = len(stems).bit_length() - 1
+        self.parts = [s and tuple(np.load(os.path.join(folder, f"{s}.{w}.npy"), mmap_mode="r") for w in ("hash", "value")) for s in stems]
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
         h = mix64(keys.astype(np.uint64))
         order = np.argsort(h)
         sorted_h = h[order]
         found = np.full(len(h), default, np.float64)
-        for hashes, values in self.parts:
-            at = np.searchsorted(hashes, sorted_h)
+        edges = np.searchsorted(sorted_h, np.arange(1, len(self.parts), dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else []
+        for part, a, b in zip(self.parts, [0, *edges], [*edges, len(h)]):
+            if part is None or a == b:
+                continue
+            hashes, values = part
+            own = sorted_h[a:b]
+            at = np.searchsorted(hashes, own)
             at[at == len(hashes)] = 0
-            hit = hashes[at] == sorted_h
-            found[order[hit]] = values[at[hit]]
+            hit = hashes[at] == own
+            found[order[a:b][hit]] = values[at[hit]]
         return found
 
 
@@ -227,7 +247,8 @@ def _score(folder: str):
 def perplexities(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_symbols, log_prob, perplexity) of every row under the model in folder.
 
-    A null text has no symbols and null scores; an empty one has its end. Repeated rows are scored each; whole texts count.
+    A null text has no symbols and null scores; an empty one has its end. Repeated rows are scored each; whole texts count. An empty table gives an
+    empty result; other columns are ignored.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(folder), "doc_id long, n_symbols long, log_prob double, perplexity double")
 

@@ -317,7 +317,11 @@ def test_model_against_dictionaries(spark):
     n = lm.ORDER
     counts = {n: collections.Counter(lm.keys_of(texts)[0].tolist())}
     for k in range(n - 1, 0, -1):
-        counts[k] = collections.Counter(g & ((1 << lm.BITS * k) - 1) for g in counts[k + 1])
+        counts[k] = collections.Counter()
+        for g, c in counts[k + 1].items():
+            low = g & ((1 << lm.BITS * k) - 1)
+            # Different symbols before it; raw counts where it begins a text.
+            counts[k][low] += c if low >> lm.BITS * (k - 1) == lm.START else 1
     cut = {}
     for k, c in counts.items():
         h = collections.Counter(c.values())
@@ -343,6 +347,16 @@ def test_model_against_dictionaries(spark):
     assert abs(np.exp(model.log_probability(context + np.arange(lm.SYMBOLS))).sum() - 1) < 1e-3
 
 
+def test_model_in_many_files_is_the_same(spark, monkeypatch):
+    """A key is sought in the one file that its hash names."""
+    df = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = sorted(map(tuple, lm.corpus_perplexities(df).collect()))
+    monkeypatch.setattr(lm, "FILE_ROWS", 1_000)
+    folder = lm.train(df)
+    assert len(lm.Model(folder).tables["p5"].parts) >= 16
+    assert sorted(map(tuple, lm.perplexities(df, folder).collect())) == want
+
+
 def test_main_text_of_a_page():
     body = "This is a paragraph, with commas, and enough text to count as content for the page. " * 3
     html = f"<html><body><nav><a href=/>Home</a> links</nav><div id=main><p>{body}</p><p>{body}</p><p>Short.</p></div><div class=sidebar><a href=x>{body}</a></div></body>"
