@@ -112,6 +112,7 @@ def redact_documents(spark, d):
 
 @query()
 def redaction_counts(spark, d):
+    """Over every text of the documents; training_summary has the counts of an export."""
     return clean.redaction_totals(S.table(spark, d, "documents"))
 
 
@@ -135,16 +136,24 @@ def canonical_hash(spark, d):
     return style.canonicalize(_style_docs(spark, d)).select("source_key", "content_hash")
 
 
-@query(f"WITH r AS (SELECT {S.REPLY_COLUMNS} FROM labels) SELECT id AS reply_id, delivery_status, feedback_status, feedback_category, corrected_reply_text, CASE WHEN feedback_status <> 'unreviewed' THEN feedback_source END AS feedback_source FROM r")
+_LOG = (
+    "user_id AS reply_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'delivery' WHEN 'signup' THEN 'feedback' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'notification' ELSE 'other' END AS kind, "
+    "CASE event_id % 3 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' ELSE 'cancelled_manual' END AS delivery_status, CASE WHEN event_id % 3 = 0 THEN event_id * 2 END AS sent_message_id, CASE WHEN event_id % 3 = 0 THEN 'at' END AS sent_at, "
+    "CASE event_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'corrected' END AS feedback_status, CASE WHEN event_id % 4 = 1 THEN 'too_long' END AS feedback_category, CASE WHEN event_id % 8 = 1 THEN 'words' END AS feedback_comment, "
+    "CASE WHEN event_id % 4 > 1 THEN concat('better ', event_id) END AS corrected_reply_text, concat('t', event_id) AS feedback_updated_at, CASE WHEN event_id % 5 > 0 THEN 'trainer_bot' END AS feedback_source, event_id % 3 AS feedback_trainer_user_id, "
+    "CASE WHEN event_type = 'click' THEN 'sending' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'sent' END AS notification_status, ts AS notification_last_attempt_at, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'timeout' END AS notification_error, "
+    "CASE WHEN event_id % 7 = 1 THEN 9 END AS review_chat_id, CASE WHEN event_id % 7 = 1 THEN event_id END AS review_message_id"
+)
+
+
+@query(f"""WITH e AS (SELECT {_LOG} FROM events) SELECT reply_id, coalesce((list(delivery_status ORDER BY seq DESC) FILTER (kind = 'delivery'))[1], 'generated') AS delivery_status,
+  {", ".join(f"(list({c} ORDER BY seq DESC) FILTER (kind = 'delivery'))[1] AS {c}" for c in feedback.DELIVERY[1:])}, coalesce((list(feedback_status ORDER BY seq DESC) FILTER (kind = 'feedback'))[1], 'unreviewed') AS feedback_status,
+  {", ".join(f"(list({c} ORDER BY seq DESC) FILTER (kind = 'feedback'))[1] AS {c}" for c in feedback.FEEDBACK[1:])},
+  coalesce((list(notification_status ORDER BY seq DESC) FILTER (kind IN ('claim', 'notification')))[1], 'not_requested') AS notification_status, CAST(count(*) FILTER (kind = 'claim') AS INT) AS notification_attempts,
+  (list(notification_error ORDER BY seq DESC) FILTER (kind IN ('claim', 'notification')))[1] AS notification_error,
+  {", ".join(f"(list({c} ORDER BY seq DESC) FILTER (kind = 'notification' AND {c} IS NOT NULL))[1] AS {c}" for c in ("review_chat_id", "review_message_id"))} FROM e GROUP BY reply_id""")
 def feedback_state(spark, d):
-    r = S.table(spark, d, "labels").selectExpr(*S._split(S.REPLY_COLUMNS))
-    null = F.lit(None).cast("string")
-    log = lambda seq, kind, **c: r.select(F.col("id").alias("reply_id"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), *[c.get(n, null).alias(n) for n in ("delivery_status", *feedback.FEEDBACK)], F.lit(None).cast("long").alias("review_message_id"))
-    final = {n: F.col(n) for n in feedback.FEEDBACK}
-    events = log(1, "delivery", delivery_status=F.lit("generated")).unionByName(log(2, "delivery", delivery_status=F.col("delivery_status")))
-    reviewed = log(3, "feedback", feedback_status=F.lit("rejected"), feedback_category=F.lit("too_long")).unionByName(log(4, "feedback", **final))
-    keep = r.where("feedback_status <> 'unreviewed'").select(F.col("id").alias("reply_id"))
-    return feedback.state(events.unionByName(reviewed.join(keep, "reply_id", "left_semi"))).drop("review_message_id")
+    return feedback.state(S.table(spark, d, "events").selectExpr(*S._split(_LOG))).drop("notification_last_attempt_at")
 
 
 @query(REPLIES + " SELECT count(*) AS total, count(*) FILTER (feedback_status = 'unreviewed') AS unreviewed, count(*) FILTER (feedback_status = 'approved') AS approved, count(*) FILTER (feedback_status = 'rejected') AS rejected, count(*) FILTER (feedback_status = 'corrected') AS corrected, count(*) FILTER (delivery_status = 'failed') AS delivery_failures FROM r")
@@ -157,7 +166,7 @@ def recent_replies(spark, d):
     return feedback.recent(_replies(spark, d)).select("id", "feedback_status")
 
 
-@query(REPLIES + " SELECT id, notification_attempts FROM r WHERE delivery_status = 'sent' AND notification_attempts < 3 AND feedback_status = 'unreviewed' ORDER BY id LIMIT 20")
+@query(REPLIES + " SELECT id, notification_attempts FROM r WHERE delivery_status = 'sent' AND review_message_id IS NULL AND notification_status IN ('pending', 'failed') AND notification_attempts < 3 ORDER BY id LIMIT 20")
 def pending_notifications(spark, d):
     return feedback.pending_notifications(_replies(spark, d)).select("id", "notification_attempts")
 
@@ -167,43 +176,90 @@ def feedback_export_split(spark, d):
     return feedback.split(feedback.reviewed(_replies(spark, d))).select("id", "part", "preferred_reply", "feedback_source")
 
 
-_COMMANDS = "CASE doc_id % 6 WHEN 0 THEN concat('/good ', doc_id) WHEN 1 THEN concat('/bad ', doc_id, ' too_formal  be brief') WHEN 2 THEN concat('/fix ', doc_id, ' better text') WHEN 3 THEN concat('/bad ', doc_id, ' free words') WHEN 4 THEN '/good x' ELSE concat('/nope ', doc_id) END"
+_COMMANDS = (
+    "CASE doc_id % 12 WHEN 0 THEN concat('/good ', doc_id) WHEN 1 THEN concat('/bad ', doc_id, ' too_formal  be brief') WHEN 2 THEN concat('/fix ', doc_id, ' ', text) WHEN 3 THEN concat(' /BAD  ', doc_id, ' ', text) "
+    "WHEN 4 THEN concat('/good x', doc_id) WHEN 5 THEN concat('/nope ', doc_id) WHEN 6 THEN concat('/good -', doc_id) WHEN 7 THEN concat('/fix ', doc_id) WHEN 8 THEN concat('/good ', doc_id, ' more') WHEN 9 THEN '/feedback_help' WHEN 10 THEN text ELSE '/good' END"
+)
+COMMANDS = f"""WITH t AS (SELECT doc_id, {_strip(_COMMANDS)} AS b FROM documents), p AS (SELECT doc_id, b, lower(regexp_extract(b, '^[^ \\n\\t]+')) AS name, regexp_extract(b, '^[^ \\n\\t]+[ \\n\\t]+([^ \\n\\t]+)', 1) AS num,
+  {_strip("regexp_extract(b, '^[^ \\n\\t]+[ \\n\\t]+[^ \\n\\t]+[ \\n\\t]+((?s).+)$', 1)")} AS rest FROM t),
+e AS (SELECT *, CASE WHEN regexp_matches(num, '^[+]?[0-9]+$') THEN TRY_CAST(num AS BIGINT) END AS n FROM p), x AS (SELECT *, CASE WHEN name NOT IN ('/good', '/bad', '/fix', '/feedback_help') THEN 'unknown_command' WHEN name = '/feedback_help' THEN CASE WHEN b <> name THEN 'help_takes_no_arguments' END
+  WHEN num = '' THEN 'reply_id_missing' WHEN n IS NULL OR n <= 0 THEN 'reply_id_not_positive' WHEN name = '/good' AND rest <> '' THEN 'good_takes_an_id_only' WHEN name <> '/good' AND rest = '' THEN 'detail_missing' END AS error, split_part(rest, ' ', 1) AS f FROM e),
+k AS (SELECT *, f IN ({", ".join(f"'{c}'" for c in T.CATEGORIES)}) AS known FROM x)
+SELECT doc_id, CASE WHEN error IS NULL THEN CASE name WHEN '/feedback_help' THEN 'help' ELSE substr(name, 2) END END AS name, CASE WHEN error IS NULL AND name <> '/feedback_help' THEN n END AS reply_id, CASE WHEN error IS NULL AND name = '/bad' THEN CASE WHEN known THEN f ELSE 'other' END END AS category,
+  CASE WHEN error IS NULL AND name = '/bad' THEN CASE WHEN known THEN nullif({_strip("substr(rest, length(f) + 2)")}, '') ELSE rest END END AS comment, CASE WHEN error IS NULL AND name = '/fix' THEN rest END AS correction, error FROM k"""
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' WHEN 2 THEN 'fix' WHEN 3 THEN 'bad' END AS name, CASE WHEN doc_id % 6 < 4 AND doc_id > 0 THEN doc_id END AS reply_id, CASE doc_id % 6 WHEN 1 THEN 'too_formal' WHEN 3 THEN 'other' END AS category, CASE doc_id % 6 WHEN 1 THEN 'be brief' WHEN 3 THEN 'free words' END AS comment, CASE doc_id % 6 WHEN 2 THEN 'better text' END AS correction, CASE doc_id % 6 WHEN 4 THEN 'reply_id_not_positive' WHEN 5 THEN 'unknown_command' END AS error FROM documents WHERE doc_id > 0")
+@query(COMMANDS)
 def feedback_commands(spark, d):
-    return S.table(spark, d, "documents").where("doc_id > 0").select("doc_id", T.parse_command(F.expr(_COMMANDS)).alias("c")).select("doc_id", "c.*")
+    return S.table(spark, d, "documents").select("doc_id", T.parse_command(F.expr(_COMMANDS)).alias("c")).select("doc_id", "c.*")
+
+
+_OBJECTS = "CASE WHEN json_valid(context_json) AND json_type(context_json) = 'ARRAY' THEN list_filter(json_extract(context_json, '$[*]'), lambda x: json_type(x) = 'OBJECT') ELSE [] END"
+FEEDBACK_EXAMPLES = REPLIES + f""", o AS (SELECT *, {_OBJECTS} AS objs FROM r),
+c AS (SELECT *, list_transform(objs, lambda x: struct_pack(provenance := coalesce(json_extract_string(x, '$.provenance'), ''), role := coalesce(json_extract_string(x, '$.role'), ''), text := coalesce(json_extract_string(x, '$.text'), ''))) AS turns FROM o),
+i AS (SELECT *, coalesce(nullif(incoming_message_text, ''), {_strip("coalesce(list_filter(turns, lambda t: t.role = 'user')[-1].text, '')")}) AS incoming FROM c),
+ty AS (SELECT *, CASE WHEN feedback_status = 'corrected' AND coalesce(corrected_reply_text, '') <> '' THEN 'fix' WHEN feedback_status = 'rejected' AND feedback_category = 'should_not_reply' THEN 'should_not_reply' WHEN feedback_status = 'rejected' THEN 'rejected' WHEN feedback_status = 'approved' THEN 'approved_ai' END AS st FROM i),
+fe AS (SELECT 'feedback:' || id || ':' || CASE st WHEN 'approved_ai' THEN 'good' ELSE st END AS source_key, st AS source_type, CASE st WHEN 'fix' THEN 'positive' WHEN 'approved_ai' THEN 'evaluation' ELSE 'negative' END AS polarity, CASE st WHEN 'fix' THEN 'human_fix' ELSE 'ai_generated' END AS provenance,
+  CASE st WHEN 'fix' THEN corrected_reply_text ELSE generated_reply_text END AS response_text, incoming AS incoming_text, coalesce(nullif(feedback_updated_at, ''), created_at) AS created_at, turns, feedback_status, coalesce(feedback_category, '') AS feedback_category, dialog_id AS contact_id, id AS seq FROM ty WHERE st IS NOT NULL AND incoming <> '')"""
 
 
-@query(REPLIES + ", k AS (SELECT *, CASE WHEN feedback_status = 'corrected' AND coalesce(corrected_reply_text, '') <> '' THEN 'fix' WHEN feedback_status = 'rejected' AND feedback_category = 'should_not_reply' THEN 'should_not_reply' WHEN feedback_status = 'rejected' THEN 'rejected' WHEN feedback_status = 'approved' THEN 'approved_ai' END AS st FROM r) SELECT 'feedback:' || id || ':' || CASE st WHEN 'approved_ai' THEN 'good' ELSE st END AS source_key, st AS source_type, CASE st WHEN 'fix' THEN 'positive' WHEN 'approved_ai' THEN 'evaluation' ELSE 'negative' END AS polarity, CASE st WHEN 'fix' THEN corrected_reply_text ELSE generated_reply_text END AS response_text FROM k WHERE st IS NOT NULL")
+@query(FEEDBACK_EXAMPLES + " SELECT source_key, source_type, polarity, provenance, response_text, incoming_text, created_at, len(turns)::BIGINT AS n_context, contact_id FROM fe")
 def style_examples(spark, d):
-    return style.from_feedback(_replies(spark, d).withColumn("incoming_text", F.lit("question"))).select("source_key", "source_type", "polarity", "response_text")
+    return style.from_feedback(_replies(spark, d)).select("source_key", "source_type", "polarity", "provenance", "response_text", "incoming_text", "created_at", F.size("context").cast("long").alias("n_context"), "contact_id")
+
+
+_NOW = "SELECT concat('doc:', doc_id) AS source_key, sha256(text) AS content_hash, doc_id AS seq, CASE WHEN doc_id % 10 = 7 THEN 'evaluation' ELSE 'positive' END AS polarity FROM documents WHERE doc_id % 9 <> 0"
+_THEN = "SELECT concat('doc:', doc_id) AS source_key, CASE WHEN doc_id % 5 = 0 THEN sha256(concat(text, ' before')) ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 7 <> 0"
+PLAN = f"""WITH cur AS ({_NOW}), old AS ({_THEN}), known AS (SELECT DISTINCT content_hash FROM old WHERE source_key NOT LIKE '%3'),
+ch AS (SELECT coalesce(cur.source_key, old.source_key) AS source_key, CASE WHEN old.source_key IS NULL THEN 'new' WHEN cur.source_key IS NULL THEN 'deleted' WHEN cur.content_hash = old.content_hash THEN 'unchanged' ELSE 'modified' END AS change_type FROM cur FULL OUTER JOIN old USING (source_key)),
+pend AS (SELECT cur.*, CASE change_type WHEN 'new' THEN 0 ELSE 1 END AS phase FROM cur JOIN ch USING (source_key) WHERE change_type IN ('new', 'modified')),
+ru AS (SELECT *, content_hash IN (SELECT content_hash FROM known) OR row_number() OVER (PARTITION BY content_hash ORDER BY phase, seq) > 1 AS reuse FROM pend),
+an AS (SELECT *, NOT reuse AND polarity <> 'evaluation' AS due FROM ru)"""
+
 
+def _snapshots(spark, d):
+    docs = S.table(spark, d, "documents")
+    key = F.concat(F.lit("doc:"), "doc_id").alias("source_key")
+    current = docs.where("doc_id % 9 <> 0").select(key, F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 10 == 7, "evaluation").otherwise("positive").alias("polarity"))
+    cached = docs.where("doc_id % 7 <> 0").select(key, F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" before"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return current, cached, cached.where(~F.endswith("source_key", F.lit("3"))).select("content_hash")
 
-@query("SELECT 'doc:' || coalesce(a.doc_id, b.doc_id) AS source_key, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'deleted' WHEN a.doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS change_type FROM (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) a FULL OUTER JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id")
+
+@query(PLAN + " SELECT source_key, change_type FROM ch")
 def build_plan(spark, d):
-    h = S.table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("source_key"), F.sha2("text", 256).alias("content_hash"))
-    cached = h.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")))
-    return style.diff(h.where("doc_id % 9 <> 0"), cached).select("source_key", "change_type")
+    current, cached, _ = _snapshots(spark, d)
+    return style.diff(current, cached).select("source_key", "change_type")
+
+
+@query(PLAN + " SELECT source_key, phase, reuse, due AS fresh FROM an")
+def build_pending(spark, d):
+    return style.pending_hashes(*_snapshots(spark, d)).select("source_key", "phase", "reuse", F.col("analyze").alias("fresh"))
+
 
+@query(PLAN + " SELECT content_hash, source_key, (row_number() OVER (ORDER BY phase, seq) - 1) // 50 + 1 AS batch_number FROM an WHERE due")
+def build_batches(spark, d):
+    return style.to_analyze(*_snapshots(spark, d))
 
-@query("SELECT change_type, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 9 = 0 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS change_type FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 9 = 0)) GROUP BY 1")
+
+@query(PLAN + """ SELECT (SELECT count(*) FROM cur) AS total, count(*) FILTER (change_type = 'unchanged') AS unchanged, count(*) FILTER (change_type = 'new') AS "new", count(*) FILTER (change_type = 'modified') AS modified, count(*) FILTER (change_type = 'deleted') AS deleted,
+  (SELECT count(*) FROM an WHERE reuse) AS reusable, (SELECT count(*) FROM an WHERE due) AS to_analyze, CAST(ceil((SELECT count(*) FROM an WHERE due) / 50) AS BIGINT) AS batches, (SELECT count(*) FROM an WHERE due) > 0 AS analyzer_needed FROM ch""")
 def plan_summary(spark, d):
-    return build_plan(spark, d).groupBy("change_type").agg(F.count("*").alias("n"))
+    return style.plan_summary(*_snapshots(spark, d))
 
 
-@query("""WITH r AS (SELECT lower(trim(source)) AS k1, 'write in ' || lang AS k2, CAST(doc_id % 97 AS VARCHAR) AS k3, doc_id, 0.5 + doc_id % 40 / 100.0 AS c, CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE 'human' END AS st FROM documents)
+@query("""WITH r AS (SELECT lower(trim(coalesce(source, ''))) AS k1, 'write in ' || coalesce(lang, '?') AS k2, sha256(text) AS h, CAST(doc_id % 97 AS VARCHAR) AS k3, doc_id, 0.5 + doc_id % 40 / 100.0 AS c, CASE WHEN doc_id % 3 = 0 THEN 'fix' ELSE 'human' END AS st FROM documents)
 SELECT substr(sha256(k1 || '|' || k2 || '|' || k3 || '|global|positive'), 1, 24) AS observation_id, count(*) AS evidence_count, CAST(round(least(0.99, max(c) + 0.03 * (count(*) - 1)), 4) AS DOUBLE) AS confidence,
-  CASE WHEN count(DISTINCT st) = 1 THEN min(st) ELSE 'mixed' END AS source_type, CASE WHEN bool_or(st = 'fix') THEN 100 ELSE 80 END AS source_priority FROM r GROUP BY k1, k2, k3""")
+  CASE WHEN count(DISTINCT st) = 1 THEN min(st) ELSE 'mixed' END AS source_type, CASE WHEN bool_or(st = 'fix') THEN 100 ELSE 80 END AS source_priority,
+  'Write  in ' || substr(k2, 10) AS text, array_to_string(list_sort(list('doc:' || doc_id)), ',') AS keys, array_to_string(list_sort(list(DISTINCT h)), ',') AS hashes FROM r GROUP BY k1, k2, k3""")
 def merged_rules(spark, d):
-    docs = S.table(spark, d, "documents").where("lang is not null and source is not null")
+    docs = S.table(spark, d, "documents").withColumns({"lang": F.coalesce("lang", F.lit("?")), "source": F.coalesce("source", F.lit(""))})
     rules = docs.select(F.concat(F.lit("Write  in "), "lang").alias("text"), F.expr("cast(0.5 + doc_id % 40 / 100.0 as double)").alias("confidence"), F.expr("cast(doc_id % 97 as string)").alias("applicable_context"), F.lit("Global ").alias("scope"), F.col("source").alias("behavior_category"), F.lit("positive").alias("polarity"), F.when(F.col("doc_id") % 3 == 0, "fix").otherwise("human").alias("source_type"), F.col("doc_id").alias("seq"), F.concat(F.lit("doc:"), "doc_id").alias("source_key"), F.sha2("text", 256).alias("content_hash"))
-    return style.merge(style.bind(rules)).select("observation_id", "evidence_count", "confidence", "source_type", "source_priority")
+    return style.merge(style.bind(rules)).select("observation_id", "evidence_count", "confidence", "source_type", "source_priority", "text", F.array_join("supporting_source_keys", ",").alias("keys"), F.array_join("supporting_source_hashes", ",").alias("hashes"))
 
 
-@query(f"SELECT doc_id % 50 AS contact_id, count(*) AS positive_example_count, round_even(avg(length(text)), 2) AS average_response_chars, round_even(avg(CAST(regexp_matches(text, '^\\p{{Ll}}') AS INT)), 3) AS lowercase_start_ratio, round_even(avg(CAST(ends_with({_strip('text')}, '.') AS INT)), 3) AS final_period_ratio, round_even(avg(CAST(contains(text, '?') AS INT)), 3) AS question_ratio, round_even(avg(CAST(contains(text, '!') AS INT)), 3) AS exclamation_ratio FROM documents GROUP BY 1")
+@query(f"SELECT doc_id % 50 AS contact_id, count(*) AS positive_example_count, count(*) AS evidence_count, round_even(avg(length(text)), 2) AS average_response_chars, round_even(avg(CAST(regexp_matches(text, '^\\p{{Ll}}') AS INT)), 3) AS lowercase_start_ratio, round_even(avg(CAST(ends_with({_strip('text')}, '.') AS INT)), 3) AS final_period_ratio, round_even(avg(CAST(contains(text, '?') AS INT)), 3) AS question_ratio, round_even(avg(CAST(contains(text, '!') AS INT)), 3) AS exclamation_ratio FROM documents GROUP BY 1")
 def contact_statistics(spark, d):
-    return style.statistics(_style_docs(spark, d)).drop("evidence_count")
+    return style.statistics(_style_docs(spark, d))
 
 
 _TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_'']+')"
@@ -245,17 +301,42 @@ def retrieval_topk(spark, d):
     return _retrieved(spark, d)[0]
 
 
-@query()
-def evidence_packing(spark, d):
+_PACKED = RETRIEVAL.replace("SELECT item_id AS query_id, CAST(rank AS INT) AS rank, example_id, round(score, 6) AS score FROM k WHERE rank <= 8", "") + """,
+top AS (SELECT item_id AS query_id, k.rank, round(k.score, 6) AS score, c.* FROM k JOIN cand c USING (example_id) WHERE k.rank <= 8),
+blk AS (SELECT query_id, rank, score, source_type, CASE WHEN polarity = 'positive' THEN 'POSITIVE ' || upper(source_type) || ' EVIDENCE' ELSE 'NEGATIVE ' || upper(source_type) || ' EVIDENCE - DO NOT COPY' END || chr(10) || 'CONTACT: ' || incoming_text || chr(10) || 'RESPONSE: ' || response_text AS block FROM top),
+lst AS (SELECT query_id, list({'used': length(block), 'outs': [block]} ORDER BY source_type <> 'fix', score DESC, rank) AS bs, count(*) AS selected_count, count(*) FILTER (source_type = 'fix') AS selected_fix_count FROM blk GROUP BY 1),
+pk AS (SELECT *, list_reduce(bs, lambda a, x: CASE WHEN a.used + x.used > 10000 THEN a ELSE {'used': a.used + x.used, 'outs': list_concat(a.outs, x.outs)} END, {'used': 0::BIGINT, 'outs': []::VARCHAR[]}) AS f FROM lst),
+ev AS (SELECT query_id, len(f.outs)::BIGINT AS n_blocks, f.used::BIGINT AS used, CASE WHEN len(f.outs) > 0 THEN array_to_string(f.outs, chr(10) || chr(10)) ELSE '(no relevant evidence selected)' END AS evidence, selected_count, selected_fix_count FROM pk)"""
+
+
+def _evidence(spark, d):
     top, cand = _retrieved(spark, d)
-    return compose.pack_evidence(top.join(cand.drop("seq"), "example_id"))
+    return top.join(cand.drop("seq"), "example_id")
 
 
-@query()
+@query(_PACKED + " SELECT query_id, n_blocks, used, evidence FROM ev")
+def evidence_packing(spark, d):
+    return compose.pack_evidence(_evidence(spark, d))
+
+
+_RULES, _SECTION = "- be brief\n" * 1500, "chr(10) || chr(10) || "
+
+
+@query(_PACKED + f""", msgs AS (SELECT item_id AS query_id, u.seq, u.role, u.text, u.provenance FROM benchmark, LATERAL (SELECT unnest([{{'seq': 1, 'role': 'user', 'text': repeat(text, 30), 'provenance': 'contact'}}, {{'seq': 2, 'role': 'assistant', 'text': 'fine', 'provenance': 'ai_generated'}}, {{'seq': 3, 'role': 'user', 'text': text, 'provenance': 'contact'}}]) AS u)),
+sfx AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY seq DESC) AS upto FROM msgs), fit AS (SELECT query_id, string_agg(role || ':' || text, chr(10) ORDER BY seq) AS messages, sum(length(text)) AS chars FROM sfx WHERE upto <= 6000 OR seq = 3 GROUP BY 1),
+ins AS (SELECT f.*, '[IDENTITY]' || chr(10) || '{compose.IDENTITY}' || {_SECTION} '[SAFETY]' || chr(10) || '{compose.SAFETY}' || {_SECTION} '[MANUAL OVERRIDES]' || chr(10) || 'never swear' || {_SECTION} '[RULES]' || chr(10) || (SELECT rtrim(substr(repeat('- be brief' || chr(10), 1500), 1, 11986), chr(10) || ' ')) || chr(10) || '[truncated]'
+  || {_SECTION} '[CONTACT STYLE]' || chr(10) || CASE WHEN f.query_id % 2 = 0 THEN '{{"contact":' || f.query_id || '}}' ELSE '{{}}' END || {_SECTION} '[EXAMPLES]' || chr(10) || coalesce(evidence, '{compose.EMPTY}') || {_SECTION} '[FALLBACK]' || chr(10) || '{compose.FALLBACK}' || {_SECTION} '[TASK]' || chr(10) || '{compose.TASK}' AS instructions,
+  coalesce(selected_count, 0) AS selected_count, coalesce(selected_fix_count, 0) AS selected_fix_count FROM fit f LEFT JOIN ev USING (query_id))
+SELECT query_id, instructions, messages, CAST(length(instructions) + chars AS BIGINT) AS estimated_chars, selected_count, selected_fix_count, 'ai_generated:1,contact:2' AS provenances FROM ins""")
 def composed_prompt(spark, d):
-    top, cand = _retrieved(spark, d)
-    packed = compose.pack_evidence(top.join(cand.drop("seq"), "example_id"))
-    return packed.select("query_id", compose.prompt(rules=F.lit("Be brief."), profile=F.lit("{}"), evidence=F.col("evidence"), overrides=F.lit("")).alias("prompt"))
+    b = S.table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
+    turn = lambda seq, role, text, p: F.struct(F.lit(seq).alias("seq"), F.lit(role).alias("role"), text.alias("text"), F.lit(p).alias("provenance"))
+    messages = b.select("query_id", F.explode(F.array(turn(1, "user", F.repeat("text", F.lit(30)), "contact"), turn(2, "assistant", F.lit("fine"), "ai_generated"), turn(3, "user", F.col("text"), "contact"))).alias("m")).select("query_id", "m.*")
+    contacts = b.where("query_id % 2 = 0").select("query_id", F.to_json(F.struct(F.col("query_id").alias("contact"))).alias("profile"))
+    got = compose.compose(_evidence(spark, d), messages, contacts, rules=_RULES, overrides="never swear")
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    counted = F.array_join(F.transform(F.array_sort(F.map_entries("provenance_counts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return got.select("query_id", "instructions", said.alias("messages"), "estimated_chars", "selected_count", "selected_fix_count", counted.alias("provenances"))
 
 
 _CUR = "cur AS (SELECT dialog_id, max(id) AS id FROM m GROUP BY 1)"
@@ -291,11 +372,6 @@ def response_metrics(spark, d):
     return compose.response_metrics(S.table(spark, d, "documents")).select("doc_id", "length", "generic_phrases", "rude", "exclamations", "questions")
 
 
-@query("SELECT user_id, event_id, event_type, CASE WHEN event_type = 'click' THEN 'opened' WHEN lag(event_type) OVER w IS DISTINCT FROM 'click' THEN 'nothing_pending' WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 'completed' ELSE 'expired' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def pending_ttl(spark, d):
-    return feedback.pending_folds(S.table(spark, d, "events"))
-
-
 @query(MSG + " SELECT dialog_id, max(m.id) AS last_id, arg_max(outgoing, m.id) AS last_outgoing, arg_max(text, m.id) AS last_text, count(*) AS n_messages, count(*) FILTER (NOT outgoing AND m.id > coalesce(o.own, -1)) AS unread FROM m LEFT JOIN (SELECT dialog_id, max(id) AS own FROM m WHERE outgoing GROUP BY 1) o USING (dialog_id) GROUP BY dialog_id")
 def spec_inbox(spark, d):
     return spec.inbox(_history(spark, d))
@@ -319,3 +395,6 @@ def spec_quality_rates(spark, d):
 @query("SELECT key, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY key) THEN 'first' WHEN payload = first_value(payload) OVER (PARTITION BY key ORDER BY seq) THEN 'replay' ELSE 'conflict' END AS outcome FROM (SELECT user_id AS key, event_id AS seq, event_type AS payload FROM events)")
 def spec_idempotency(spark, d):
     return spec.idempotent(S.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))).select("key", "seq", "outcome")
+
+
+from dialoom import catalogue_build, catalogue_review, catalogue_spec  # noqa: E402, F401 - they add their queries

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _SPACES = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS, NOT_WS, WORD = f"[{_SPACES}]", f"[^{_SPACES}]", r"\p{L}\p{N}_"
@@ -107,6 +108,17 @@ def nfc(text: Column) -> Column:
     return _nfc(text)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_all(texts: pd.Series) -> pd.Series:
+    one = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
+    return texts.map(lambda ts: ts if ts is None else [one(t) for t in ts])
+
+
+def nfc_all(texts: Column) -> Column:
+    """nfc of each text of an array."""
+    return _nfc_all(texts)
+
+
 def canonical(text: Column) -> Column:
     """Line feeds as such, blanks and tabs collapsed, lines stripped; apply nfc first."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
@@ -164,5 +176,7 @@ def parse_callback(payload: Column) -> Column:
 
 
 def error_category(name: Column) -> Column:
+    """The kind of failure by the name of an error, the first that fits."""
     low = F.lower(name)
-    return F.when(F.contains(low, F.lit("timeout")), "timeout").when(F.contains(low, F.lit("forbidden")) | F.contains(low, F.lit("unauthorized")), "authorization").when(F.contains(low, F.lit("network")) | F.contains(low, F.lit("connection")), "network").otherwise("api_error")
+    has = lambda *parts: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+    return F.when(has("retryafter"), "rate_limited").when(has("timeout"), "timeout").when(has("network"), "network").when(has("forbidden", "unauthorized"), "authorization").otherwise("api_error")

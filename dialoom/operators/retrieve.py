@@ -1,18 +1,24 @@
 """TF-IDF retrieval with boosts, for many queries over one corpus, without a cross join.
 
-The cosine needs only pairs that share a token: an equi-join on tokens. A candidate that shares none scores by its boosts,
+The cosine needs only pairs that share a token: an equi-join on tokens. As nearly all texts share some common word, those are most pairs of a query and
+a candidate; they are scored where the candidate lies and only the best k of a task move on. A candidate that shares none scores by its boosts,
 which depend on its contact, its profanity flag and its intent alone, and by what is its own (source, polarity, age). So the best
-of each such class stand for the rest of it: whatever the corpus, a query meets its token partners and a few leaders of each class.
+of each such class stand for the rest of it.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
 
-from .clean import keep_first
+from .clean import keep_first, union_ordered
+
+
+#: Words of queries that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def recency(created_at: Column, as_of: Column) -> Column:
@@ -29,6 +35,14 @@ def dedup(candidates: DataFrame) -> DataFrame:
     return keep_first(some, keys, [F.col("seq")])
 
 
+def runtime_candidates(feedback: DataFrame, bank: DataFrame) -> DataFrame:
+    """Candidates of a live query: feedback as it is, before the examples of the bundle; both as style examples."""
+    columns = ["example_id", "contact_id", "incoming_text", "response_text", "source_type", "polarity", "created_at"]
+    both = union_ordered(feedback.select(*columns), bank.select(*columns))
+    # A key that sorts feedback first and tells rows apart; no window over all of them.
+    return both.withColumn("seq", F.struct("src_ord", "example_id")).drop("src_ord")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int = 8) -> DataFrame:
     """(query_id, rank, example_id, score) of the k best candidates of each query; k <= 0 gives none.
 
@@ -36,30 +50,35 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     Ties go to fixes, then to the greater created_at, the greater example_id, the lesser seq.
     """
     own = F.when(F.col("source_type") == "fix", 5.0).when(F.col("source_type") == "human", 1.0).otherwise(0.0) + F.when(F.col("polarity") == "negative", 0.25).otherwise(0.0)
+    # Read by every part below; a lost block is computed again. Rows of a candidate stay in one task from here on.
     docs = dedup(candidates).select(
         "seq", "example_id", "contact_id", (F.col("source_type") == "fix").alias("fix"), "created_at", (own + recency(F.col("created_at"), as_of)).alias("own"),
         T.has_profanity(F.col("incoming_text")).alias("rude"), T.intent(F.col("incoming_text")).alias("intent"), T.tokens(F.col("incoming_text")).alias("tokens"),
-    )
+    ).repartition("seq").persist(StorageLevel.DISK_ONLY)
     q = queries.select("query_id", F.col("contact_id").alias("q_contact"), T.has_profanity(F.col("text")).alias("q_rude"), T.intent(F.col("text")).alias("q_intent"), T.tokens(F.col("text")).alias("tokens"))
-    total = docs.agg(F.count("*").alias("n_docs"))
+    n_docs = docs.count()
     tf = docs.select("seq", F.explode("tokens").alias("token")).groupBy("seq", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weighed = tf.join(df, "token").crossJoin(total).select("seq", "token", (F.col("tf") * idf).alias("w"))
+    idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weighed = tf.join(df, "token").select("seq", "token", (F.col("tf") * idf).alias("w"))
+    w_norm = weighed.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
     q_tf = q.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("tf"))
-    q_w = q_tf.join(df, "token", "left").crossJoin(total).select("query_id", "token", (F.col("tf") * idf).alias("qw"))
-    norm = lambda d, key, w: d.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"{w}_norm"))
-    dots = q_w.join(weighed, "token").groupBy("query_id", "seq").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    met = dots.join(norm(weighed, "seq", "w"), "seq").join(norm(q_w, "query_id", "qw"), "query_id").select("query_id", "seq", (F.col("dot") / (F.col("w_norm") * F.col("qw_norm"))).alias("cosine"))
+    q_w = q_tf.join(df, "token", "left").select("query_id", "token", (F.col("tf") * idf).alias("qw"), F.when(F.col("df").isNotNull(), idf).alias("idf")).persist(StorageLevel.DISK_ONLY)
+    q_norm = q_w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qw_norm"))
+    # Words of queries go to all tasks if they are few: each candidate is then scored where it lies. Else both sides meet by word.
+    shared = q_w.where("idf is not null").select("query_id", "token", (F.col("qw") * F.col("idf")).alias("qi"))
+    small = F.broadcast if q_w.count() <= BROADCAST_ROWS else (lambda d: d)
+    dots = tf.join(small(shared), "token").groupBy("seq", "query_id").agg(F.sum(F.col("tf") * F.col("qi")).alias("dot"))
+    met = dots.join(w_norm, "seq").join(small(q_norm), "query_id").select("query_id", "seq", (F.col("dot") / (F.col("w_norm") * F.col("qw_norm"))).alias("cosine"))
     body = docs.drop("tokens")
     order = [F.desc("own"), F.desc("fix"), F.desc("created_at"), F.desc("example_id"), F.asc("seq")]
     lead = lambda *by: body.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__at") <= k).drop("__at")
     whole, mine = lead("rude", "intent"), lead("contact_id", "rude", "intent")
     head = q.drop("tokens")
     # The leaders of all classes: at most k for each of 2 flags and 7 intents, so that this product is linear in the queries.
-    sides = head.crossJoin(whole).select("query_id", "seq").unionByName(head.join(mine, F.col("q_contact") == F.col("contact_id")).select("query_id", "seq"))
-    pairs = met.unionByName(sides.withColumn("cosine", F.lit(0.0))).groupBy("query_id", "seq").agg(F.max("cosine").alias("cosine"))
-    full = pairs.join(body, "seq").join(head, "query_id")
+    sides = head.crossJoin(F.broadcast(whole)).select("query_id", "seq").unionByName(head.join(mine, F.col("q_contact") == F.col("contact_id")).select("query_id", "seq"))
+    pairs = met.unionByName(sides.select("query_id", "seq").withColumn("cosine", F.lit(0.0))).groupBy("seq", "query_id").agg(F.max("cosine").alias("cosine"))
+    full = pairs.join(body, "seq").join(small(head), "query_id")
     score = F.col("cosine") + F.col("own") + F.when(F.col("contact_id") == F.col("q_contact"), 1.5).otherwise(0.0) + F.when(F.col("rude") == F.col("q_rude"), 0.5).otherwise(0.0) + F.when(F.col("intent") == F.col("q_intent"), 0.75).otherwise(0.0)
     # Sums of floats vary in their last bits with the order of rows: ranks go by nine digits.
     ranked = full.withColumn("score", F.round(score, 9))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.functions import codecs as C
 from dialoom.functions import text as T
 
 CONTEXT = "array<struct<role:string,text:string>>"
@@ -15,7 +16,16 @@ REPLY_COLUMNS = (
     "CASE WHEN doc_id % 7 = 0 THEN 'unreviewed' WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'corrected' ELSE 'approved' END AS feedback_status, "
     "CASE WHEN toxic = 1 AND doc_id % 7 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'should_not_reply' ELSE 'wrong_tone' END END AS feedback_category, "
     "CASE WHEN quality = 0 AND toxic = 0 AND doc_id % 7 <> 0 THEN CASE WHEN doc_id % 10 = 1 THEN '' ELSE concat('fixed ', doc_id) END END AS corrected_reply_text, "
-    "CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'trainer_bot' END AS feedback_source, doc_id % 4 AS notification_attempts"
+    "CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'trainer_bot' END AS feedback_source, doc_id % 4 AS notification_attempts, "
+    "doc_id * 10 AS incoming_message_id, CASE WHEN doc_id % 5 <> 2 THEN doc_id * 10 + 1 END AS sent_message_id, concat('2024-0', doc_id % 9 + 1, '-15T10:00:00+00:00') AS created_at, "
+    "CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('question ', doc_id) END AS incoming_message_text, "
+    "CASE doc_id % 6 WHEN 0 THEN '[{\"role\":\"user\",\"text\":\"first\"},{\"role\":\"user\",\"text\":\" last one \",\"provenance\":\"contact\"},{\"role\":\"assistant\",\"text\":\"hi\"}]' "
+    "WHEN 1 THEN '[]' WHEN 2 THEN 'not json' WHEN 3 THEN CASE WHEN doc_id % 4 = 3 THEN '{\"role\":\"user\",\"text\":\"no list\"}' ELSE '[1,{\"role\":\"user\",\"text\":\"a  b c\"}]' END "
+    "WHEN 4 THEN '[{\"role\":\"assistant\",\"text\":\"only mine\"}]' ELSE '[{\"text\":\"no role\"},{\"role\":\"user\"}]' END AS context_json, "
+    "CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN concat('2024-1', doc_id % 3, '-01T00:00:00+00:00') END AS feedback_updated_at, "
+    "CASE WHEN doc_id % 3 = 1 THEN doc_id + 5 END AS review_message_id, CASE doc_id % 5 WHEN 0 THEN 'not_requested' WHEN 1 THEN 'pending' WHEN 2 THEN 'sending' WHEN 3 THEN 'failed' ELSE 'sent' END AS notification_status, "
+    "CASE WHEN doc_id % 8 > 0 THEN CAST(concat('2024-03-01 10:0', doc_id % 8, ':00') AS TIMESTAMP) END AS notification_last_attempt_at, CASE WHEN doc_id % 5 = 3 THEN 'timeout' END AS notification_error, "
+    "concat('model-', doc_id % 2) AS model, 'v1' AS prompt_version"
 )
 
 
@@ -58,10 +68,12 @@ def replies(labels: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _split(columns: str) -> list[str]:
-    depth, out, now = 0, [], ""
+    """The expressions of a select list."""
+    depth, quoted, out, now = 0, False, [], ""
     for c in columns:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
+        quoted ^= c == "'"
+        depth += ((c == "(") - (c == ")")) * (not quoted)
+        if c == "," and not depth and not quoted:
             out, now = [*out, now], ""
         else:
             now += c
@@ -69,13 +81,26 @@ def _split(columns: str) -> list[str]:
 
 
 def training_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Training examples from JSON lines, with `valid`: bad JSON, and rows that aren't human or lack text, are marked, not raised."""
-    read = spark.read.text(path).where("value rlike '[^ \\t\\r]'").select(F.from_json("value", TRAINING).alias("r"), F.col("value").alias("line"))
-    context = F.coalesce("r.context", F.array().cast(CONTEXT))
-    users = F.filter(context, lambda t: t.role == "user")
-    incoming = F.when(F.size(users) > 0, T.strip(F.coalesce(F.element_at(users, -1)["text"], F.lit("")))).otherwise("")
-    got = read.select("line", "r.*", incoming.alias("incoming_text"))
-    return got.withColumn("valid", F.coalesce(F.col("is_human_authored") & (F.col("incoming_text") != "") & (T.strip(F.col("target_reply")) != ""), F.lit(False)))
+    """Training examples from JSON lines, with line_no and `valid`: bad JSON, and rows that aren't human or lack text, are marked, not raised.
+
+    line_no rises in the order of files and lines; of one file that one task reads it is the line's number. Lines end with a line feed or a carriage return only, so that a
+    text with other separators stays one line.
+    """
+    raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id() + 1).where("value rlike '[^ \\t\\r]'")
+    read = raw.select("line_no", F.from_json("value", TRAINING).alias("r"), F.col("value").alias("line"))
+    got = read.select("line_no", "line", "r.*").withColumn("incoming_text", C.last_user_text(F.coalesce("context", F.array().cast(CONTEXT))))
+    said = T.strip(F.coalesce("target_reply", F.lit("")))
+    return got.withColumn("valid", F.coalesce(F.col("is_human_authored") & (F.col("incoming_text") != "") & (said != ""), F.lit(False)))
+
+
+def first_valid(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The first `limit` valid rows of training_jsonl, and how many invalid ones stand before the last of them; all of them if fewer are valid."""
+    if limit <= 0:
+        raise ValueError("the limit must be positive")
+    kept = rows.where("valid").orderBy("line_no").limit(limit)
+    n, last = kept.agg(F.count("*"), F.max("line_no")).first()
+    bad = rows.where("not valid")
+    return kept, (bad.where(F.col("line_no") < last) if n == limit else bad).count()
 
 
 def example_bank(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1 +1 @@
-"""streaming of the dialogue engine."""
+"""Structured Streaming forms of the folds: review interactions, announcements, fragments."""
