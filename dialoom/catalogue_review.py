@@ -49,7 +49,7 @@ def review_interactions(spark, d):
     return review.interactions(_review_events(spark, d), _replies(spark, d))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, transform, *sort: str, files: int = 4) -> DataFrame:
+def _streamed(spark: SparkSession, rows: DataFrame, transform, *sort: str, files: int = 3) -> DataFrame:
     """The result of a stream over rows that come in `files` micro-batches, in the order of sort."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="dialoom-") if spark.sparkContext.master.startswith("local") else None)
     if shared is None:

@@ -64,15 +64,15 @@ def _review(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     else:
         state.update((kind, open_id, expires))
         # A day after it expired the entry goes, so that state doesn't grow with all users that there ever were.
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
 
 
 def interactions(events: DataFrame, replies: DataFrame) -> DataFrame:
-    """Streaming form of operators.review.interactions; a user's events come in order from one micro-batch to the next. replies is a static table."""
+    """Streaming form of operators.review.interactions; a user's events come in order from one micro-batch to the next, and those more than a day behind the newest are dropped. replies is a static table."""
     known = replies.select(F.col("id").alias("__id")).distinct().withColumn("known", F.lit(True))
-    a = review.actions(events).join(known, F.col("reply_id") == F.col("__id"), "left")
-    rows = a.select("user_id", "event_id", "action", "reply_id", "value", "bare", F.col("payload").isNull().alias("is_text"), F.coalesce("known", F.lit(False)).alias("known"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_review, review.OUTCOMES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    a = review.actions(events.withWatermark("ts", "1 day")).join(known, F.col("reply_id") == F.col("__id"), "left")
+    rows = a.select("user_id", "ts", "event_id", "action", "reply_id", "value", "bare", F.col("payload").isNull().alias("is_text"), F.coalesce("known", F.lit(False)).alias("known"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(_review, review.OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _TRIED = "reply_id long, seq long, outcome string, attempt long, notification_error string"
