@@ -42,6 +42,8 @@ def _pair_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # The last word of a text with others would pair with the next text: it repeats the pair before instead.
     ends = offsets[1:][size > 1] - 1
     pair[ends] = pair[ends - 1]
+    alone = offsets[:-1][size == 1]
+    pair[alone] = h[alone]
     return pair, size
 
 
