@@ -40,14 +40,14 @@ def _stream(batches):
 
     pid = TaskContext.get().partitionId()
     last = None
-    first = None
+    tail = None
 
-    def out(rows: dict, edge: int, drop) -> pa.RecordBatch:
-        n = len(rows["h1"])
-        cols = {"pid": np.full(n, pid, np.int32), "edge": np.full(n, edge, np.int32), **rows, "drop": np.full(n, drop)}
-        return pa.RecordBatch.from_pydict(cols, schema=_SCHEMA)
+    def out(rows: pa.RecordBatch, edge: int) -> pa.RecordBatch:
+        # Columns stay Arrow's: ids may be null, and NumPy would make floats of them.
+        n = rows.num_rows
+        kept = [rows.column(c) for c in ("h1", "h2", "k1", "k2", "pos")]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, pid, np.int32)), pa.array(np.full(n, edge, np.int32)), *kept, pa.array(np.full(n, edge == 0))], schema=_SCHEMA)
 
-    tail = None
     for b in batches:
         if not b.num_rows:
             continue
@@ -56,15 +56,13 @@ def _stream(batches):
         same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         same[0] = last is not None and last == (h1[0], h2[0])
         last = (h1[-1], h2[-1])
-        rows = {c: np.asarray(b.column(c)) for c in ("h1", "h2", "k1", "k2", "pos")}
-        if first is None:
-            first = {c: v[:1].copy() for c, v in rows.items()}
-            yield out(first, 1, False)
-        tail = {c: v[-1:].copy() for c, v in rows.items()}
+        if tail is None:
+            yield out(b.slice(0, 1), 1)
+        tail = b.slice(b.num_rows - 1)
         if same.any():
-            yield out({c: v[same] for c, v in rows.items()}, 0, True)
+            yield out(b.filter(pa.array(same)), 0)
     if tail is not None:
-        yield out(tail, 2, False)
+        yield out(tail, 2)
 
 
 _SCHEMA = pa.schema([("pid", pa.int32()), ("edge", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("drop", pa.bool_())])
