@@ -4,8 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
-from dialoom.operators import clean, compose, extract, feedback, retrieve, style
-from dialoom.streaming import pending
+from dialoom.operators import clean, compose, extract, retrieve, style
 
 BASE = dt.datetime(2026, 7, 24, 10, tzinfo=dt.UTC)
 HISTORY = "dialog_id long, id long, sender_id long, text string, date timestamp, outgoing boolean, is_service boolean, has_media boolean, is_forwarded boolean"
@@ -79,13 +78,3 @@ def test_equivalent_rules_merge(spark):
     rules = [("Be  brief", 0.7, "any", "global", "Length", "positive", "human", i, [f"k{i}"], [f"h{i}"], 80) for i in range(2)]
     (r,) = style.merge(spark.createDataFrame(rules, "text string, confidence double, applicable_context string, scope string, behavior_category string, polarity string, source_type string, seq long, supporting_source_keys array<string>, supporting_source_hashes array<string>, source_priority int")).collect()
     assert (r.evidence_count, r.confidence) == (2, 0.73)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
-    q = pending.pending_outcomes(stream).writeStream.format("memory").queryName("pending").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    key = lambda df: sorted((r.event_id, r.outcome) for r in df.collect())
-    assert key(spark.table("pending")) == key(feedback.pending_folds(events))
