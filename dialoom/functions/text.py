@@ -14,13 +14,14 @@ _SPACES = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 WS, NOT_WS, WORD = f"[{_SPACES}]", f"[^{_SPACES}]", r"\p{L}\p{N}_"
 URL_ONLY = f"(?i)^{WS}*https?://{NOT_WS}+{WS}*$"
 COMMAND = f"^{WS}*/[A-Za-z0-9_]+(?:@[{WORD}]+)?(?:{WS}|$)"
-EMAIL = rf"(?<![{WORD}.+-])[{WORD}.+-]+@[{WORD}.-]+\.[A-Za-z]{{2,}}"
+# Each begins with what tells most places apart: one character's class. Possessive where the next sign can't be part of the run.
+EMAIL = rf"(?<![{WORD}.+-])[{WORD}.+-]++@[{WORD}.-]+\.[A-Za-z]{{2,}}"
 QUERY_URL = f"(?i)https?://[^{_SPACES}?]*\\?{NOT_WS}*"
-PHONE = rf"(?<![{WORD}])\+?\p{{Nd}}[\p{{Nd}} ()-]{{6,}}\p{{Nd}}(?![{WORD}])"
+PHONE = rf"(?=[+\p{{Nd}}])(?<![{WORD}])\+?\p{{Nd}}[\p{{Nd}} ()-]{{6,}}\p{{Nd}}(?![{WORD}])"
 _EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 SECRET = (
-    rf"(?i)(?:{_EDGE}(?:api[_-]?key|token|secret){_EDGE}{WS}*[:=]{WS}*{NOT_WS}+|{_EDGE}sk-[A-Za-z0-9_-]{{16,}}{_EDGE}"
-    rf"|{_EDGE}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{_EDGE})"
+    rf"(?i)(?=[ates])(?<![{WORD}])(?:(?:api[_-]?key|token|secret)(?![{WORD}]){WS}*[:=]{WS}*{NOT_WS}+|sk-[A-Za-z0-9_-]{{16,}}{_EDGE}"
+    rf"|eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{_EDGE})"
 )
 #: Redaction in order; each stage sees what the one before left.
 STAGES = (("email", EMAIL), ("url", QUERY_URL), ("phone", PHONE), ("secret", SECRET))
@@ -121,8 +122,9 @@ def nfc_all(texts: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Line feeds as such, blanks and tabs collapsed, lines stripped; apply nfc first."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    return strip(F.array_join(F.transform(lines, lambda x: strip(F.regexp_replace(x, "[ \t]+", " "))), "\n"))
+    blank = f"[{_SPACES}&&[^\n]]*"
+    whole = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
+    return strip(F.regexp_replace(whole, f"{blank}\n{blank}", "\n"))
 
 
 def iso(ts: Column) -> Column:
