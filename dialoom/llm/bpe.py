@@ -41,6 +41,11 @@ class Vocabulary:
         ids = model["vocab"]
         self.bytes = {i: bytes(back[c] for c in t) for t, i in ids.items() if all(c in back for c in t)}
         self.byte_id = np.array([ids[letters[b]] for b in range(256)], np.int64)
+        # All tokens' bytes in one array, so that lists of ids are spelled without a step in Python for each; the last stands for unknown ids.
+        parts = [self.bytes.get(i, UNKNOWN) for i in range(max(self.bytes, default=-1) + 1)] + [UNKNOWN]
+        self.size = np.array([len(p) for p in parts], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.letters = np.frombuffer(b"".join(parts), np.uint8)
         self.merges: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
         made: dict[int, int] = {}
@@ -115,9 +120,13 @@ class Vocabulary:
         counts = np.add.reduceat(kept.astype(np.int64), ends - size)
         return [x.tolist() for x in np.split(ids[kept], np.cumsum(counts)[:-1])]
 
-    def decode(self, ids) -> str:
-        """The text of the tokens. An id that isn't in the vocabulary, or null, and bytes that aren't UTF-8 give U+FFFD."""
-        return b"".join([self.bytes.get(i, UNKNOWN) for i in ids]).decode("utf-8", errors="replace")
+    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids in a row, and the offsets of each id's among them. An id that isn't in the vocabulary is spelled U+FFFD."""
+        ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+        size = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.arange(upto[-1], dtype=np.int32) + np.repeat(self.start[ids] - upto[:-1].astype(np.int32), size)
+        return self.letters[at].tobytes(), upto
 
 
 @lru_cache(maxsize=2)
@@ -188,8 +197,15 @@ def _decode(path: str):
     def run(batches):
         words = vocabulary(path)
         for b in batches:
-            texts = [None if ids is None else words.decode(ids) for ids in b.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                texts = []
+                for i in range(part.num_rows):
+                    ids = part.column("token_ids")[i]
+                    flat = None if ids.values is None else np.asarray(ids.values.fill_null(-1))
+                    # Bytes that aren't UTF-8 give U+FFFD.
+                    texts.append(None if flat is None else words.spell(flat)[0].decode("utf-8", errors="replace"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
 
@@ -213,7 +229,9 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 texts = part.column("text")
                 offsets, ids = code.encode([t or "" for t in texts.to_pylist()])
                 rows = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None)
-                same = [None if t is None else words.decode(i) == t for t, i in zip(texts.to_pylist(), rows.to_pylist())]
+                spelled, upto = words.spell(ids)
+                ends = upto[offsets].tolist()
+                same = [None if t is None else spelled[a:z] == t for t, a, z in zip(texts.cast(pa.binary()).to_pylist(), ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), rows, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "gives_back"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, gives_back boolean")

@@ -310,6 +310,14 @@ def test_bpe_query_decodes_what_it_encodes(spark):
     assert {r.doc_id: (r.gives_back, r.token_ids is None) for r in bpe.round_trip(odd).collect()} == {1: (None, True), 2: (True, False), 3: (True, False)}
 
 
+def test_decoding_odd_ids(spark):
+    rows = [(1, [64, None, 10**6, -3]), (2, None), (3, []), (4, [bpe.vocabulary(bpe.VOCABULARY).byte_id[0xC3].item()])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, token_ids array<int>, text string")
+    one = bpe.vocabulary(bpe.VOCABULARY).bytes[64].decode()
+    assert {r.doc_id: r.text for r in bpe.decode(df).collect()} == {1: one + "\ufffd" * 3, 2: None, 3: "", 4: "\ufffd"}
+    assert bpe.decode(df.where("false")).collect() == []
+
+
 def test_model_against_dictionaries(spark):
     texts = ["the cat sat on the mat", "the cat ate the rat", "a cat and a rat", "the end"] * 3
     folder = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
