@@ -106,15 +106,6 @@ def newest_messages(spark, d):
     return S.newest(_history(spark, d), 10).select("dialog_id", "id")
 
 
-@query(SCAN + " SELECT 'doc:' || x.doc_id AS source_key, d.n AS example_bank_count FROM documents x, (SELECT count(DISTINCT content_hash) AS n FROM sc) d WHERE doc_id < 0")
-def contact_bank(spark, d):
-    """Contents of the bank that no scan would lose; empty if all is well."""
-    scan = _scan(spark, d)
-    bank = clean.keep_first(scan, [F.col("content_hash")], [F.col("src_ord"), F.col("seq")])
-    n = bank.agg(F.count("*").alias("example_bank_count"))
-    return scan.join(bank, "content_hash", "left_anti").select("source_key").crossJoin(n)
-
-
 #: Live queries over feedback and the bank: immediate feedback first, both sides with their ids.
 _RUN = FEEDBACK_EXAMPLES + """, bank AS (SELECT 'doc-' || doc_id AS example_id, doc_id % 50 AS contact_id, text AS incoming_text, coalesce(lang, '') AS response_text, 'human' AS source_type, 'positive' AS polarity, '' AS created_at FROM documents),
 un AS (SELECT 0 AS src, 'feedback-' || seq AS example_id, contact_id, incoming_text, response_text, source_type, polarity, created_at FROM fe UNION ALL SELECT 1, * FROM bank)"""

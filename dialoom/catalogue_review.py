@@ -113,9 +113,9 @@ def known_ai_ids(spark, d):
     return feedback.known_ai(_replies(spark, d))
 
 
-@query(REPLIES + " SELECT dialog_id, s AS sent_message_id, count(*) AS n FROM (SELECT *, sent_message_id // 40 AS s FROM r) WHERE s IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query(REPLIES + " SELECT dialog_id, s AS sent_message_id, count(*) AS n FROM (SELECT *, sent_message_id // 4000 AS s FROM r) WHERE s IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def duplicate_sent_ids(spark, d):
-    return feedback.duplicate_sent_ids(_replies(spark, d).withColumn("sent_message_id", F.expr("sent_message_id div 40")))
+    return feedback.duplicate_sent_ids(_replies(spark, d).withColumn("sent_message_id", F.expr("sent_message_id div 4000")))
 
 
 @query(MSG + " SELECT dialog_id, id, excl FROM m")

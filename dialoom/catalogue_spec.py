@@ -98,7 +98,7 @@ def spec_quality_trends(spark, d):
     return spec.quality_trends(r, day=F.substring("created_at", 1, 7), by=["account"])
 
 
-_MEMORY = "doc_id % 3 AS account, doc_id % 2 AS agent, doc_id % 20 AS contact, concat('k', doc_id % 4) AS key, CASE WHEN doc_id % 5 = 0 THEN ' Paris  city' WHEN doc_id % 5 = 1 THEN 'paris city' ELSE concat('v', doc_id % 2) END AS value, {at} AS seen, concat('s', doc_id) AS source"
+_MEMORY = "doc_id % 3 AS account, doc_id % 2 AS agent, doc_id % 20 AS contact, concat('k', doc_id % 4) AS key, CASE WHEN doc_id % 7 = 0 THEN ' Paris  city' WHEN doc_id % 7 = 1 THEN 'paris city' ELSE concat('v', doc_id % 7 % 3) END AS value, {at} AS seen, concat('s', doc_id) AS source"
 _SPARK_AT, _DUCK_AT = "timestamp_seconds(1704067200 + doc_id * 7919 % 500 * 86400)", "TIMESTAMP '2024-01-01' + to_days((doc_id * 7919 % 500)::INT)"
 
 

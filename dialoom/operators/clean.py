@@ -47,11 +47,6 @@ def redaction_totals(texts: DataFrame, column: str = "text") -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in counts])).alias("x")).select("x.*")
 
 
-def exported_texts(cleaned: DataFrame) -> DataFrame:
-    """Every text of an export, unredacted: turns and targets."""
-    return cleaned.select(F.explode(F.concat(F.col("context.text"), F.array("target_reply"))).alias("text"))
-
-
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key by a stated order; never an arbitrary one."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -47,7 +47,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     """(query_id, rank, example_id, score) of the k best candidates of each query; k <= 0 gives none.
 
     queries: (query_id, text, contact_id); candidates: (seq, example_id, contact_id, incoming_text, response_text, source_type, polarity, created_at).
-    Ties go to fixes, then to the greater created_at, the greater example_id, the lesser seq.
+    Ties go to fixes, then to the greater created_at, the greater example_id, the lesser seq. Candidates and the words of queries stay on the executors' disks until the
+    session's cache is cleared; a lost block is computed again.
     """
     own = F.when(F.col("source_type") == "fix", 5.0).when(F.col("source_type") == "human", 1.0).otherwise(0.0) + F.when(F.col("polarity") == "negative", 0.25).otherwise(0.0)
     # Read by every part below; a lost block is computed again. Rows of a candidate stay in one task from here on.
