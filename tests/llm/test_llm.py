@@ -48,6 +48,29 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](spark, docs(spark, [])).collect() == []
 
 
+def test_results_of_odd_rows(spark):
+    d = docs(spark)
+    rows = lambda name: OPERATORS[name](spark, d).collect()
+    assert rows("toxic") == [] and len(rows("drop toxic")) == len(ROWS)
+    assert {r.doc_id: r.duplicate_of for r in rows("near")} == {6: 5}
+    # Without the copy; the null id and repeated rows stay.
+    assert collections.Counter(r.doc_id for r in rows("drop near")) == {1: 1, 2: 2, 3: 1, 4: 1, None: 1, 5: 1, 7: 1}
+    tokens = [(r.doc_id, r.n_tokens, r.token_ids) for r in rows("bpe")]
+    assert (3, 0, []) in tokens and (4, 0, None) in tokens and sum(i == 2 for i, _, _ in tokens) == 2
+    scores = {(r.doc_id, r.n_symbols, r.perplexity) for r in rows("lm")}
+    assert (4, 0, None) in scores and {n for i, n, _ in scores if i == 3} == {1} and len([x for x in scores if x[0] == 2]) == 1 and {n for i, n, _ in scores if i == 5} == {len(LONG) + 1}
+    # Two labels are too few for a rule: every row, the repeated one twice, is as likely good as not.
+    assert collections.Counter((r.doc_id, r.score) for r in rows("classifier")) == {(1, 0.5): 1, (2, 0.5): 2, (3, 0.5): 1, (4, 0.5): 1, (None, 0.5): 1, (5, 0.5): 1, (6, 0.5): 1, (7, 0.5): 1}
+    packed = collections.Counter()
+    for r in rows("packing"):
+        packed[r.example] += r.n_tokens
+    assert packed[3] == packed[4] == 0 and packed[None] > 0 and packed[5] == next(n for i, n, _ in tokens if i == 5)
+    pages = {r.page_id: (r.text, r.score) for r in rows("html") if r.page_id in (3, 4)}
+    assert pages == {3: ("", 0.0), 4: ("", 0.0)}
+    report = {r.doc_id: (r.symbols, r.repeats) for r in rows("quality report")}
+    assert report[4] == report[3] == (0, 0)
+
+
 def test_line_dedup_against_brute_force(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark)).collect()}
     # The null id sorts first and takes "same line"; rows that repeat a document are one.
