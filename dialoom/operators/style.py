@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +114,11 @@ def to_analyze(current: DataFrame, cached: DataFrame, known_hashes: DataFrame, *
 
 
 def batched(rows: DataFrame, order: list[str], batch_size: int) -> DataFrame:
-    """Adds batch_number, from 1, over the rows in order. Rows are sorted over all tasks and counted by task, so that no task sees all of them."""
-    sorted_rows = rows.orderBy(*order).withColumn("__task", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    """Adds batch_number, from 1, over the rows in order. Rows are sorted over all tasks and counted by task, so that no task sees all of them.
+
+    Counting and numbering must see the same tasks, which two sorts needn't have: the sorted rows stay on the executors' disks until the session's cache is cleared.
+    """
+    sorted_rows = rows.orderBy(*order).withColumn("__task", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     sizes = sorted_rows.groupBy("__task").agg(F.count("*").alias("__n"))
     # One row a task.
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__task")) - F.col("__n")).select("__task", "__start")
