@@ -220,7 +220,8 @@ def stream_fragments(spark, d):
     """The fragments of all messages with a date; a message of a dialog of its own, long after, moves the watermark past them."""
     rows = extract.classify(_untimed(_history(spark, d))).select("dialog_id", "id", "date", "role", "excl", "text", "is_forwarded")
     last = spark.createDataFrame([(-1, k, "user", None, "end", False) for k in (1, 2)], "dialog_id long, id long, role string, excl string, text string, is_forwarded boolean")
-    whole = rows.unionByName(last.withColumn("date", F.timestamp_seconds(F.lit(4_000_000_000) + F.col("id") * 86_400)).select(*rows.columns))
+    newest = rows.agg(F.unix_micros(F.max("date")).alias("__us"))  # one row
+    whole = rows.unionByName(last.crossJoin(newest).withColumn("date", F.timestamp_micros(F.col("__us") + F.col("id") * 86_400_000_000)).select(*rows.columns))
     got = _streamed(spark, whole, fragment_stream.fragments, "date", "id").where("dialog_id >= 0")
     return got.select("dialog_id", "role", "text", F.array_join(F.col("message_ids").cast("array<string>"), ",").alias("ids"), "is_forwarded")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dialoom.operators import extract
 
+#: Event time is a hundredth of the date: pandas takes times up to 2262 only, and dates may lie beyond. The watermark is exact to a tenth of a second.
+SCALE = 100
 OUT = "dialog_id long, role string, text string, message_ids array<long>, last_us long, is_forwarded boolean"
 
 
@@ -20,7 +23,7 @@ def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if not state.hasTimedOut:
         for rows in parts:
             waiting += [[int(r.us), int(r.id), r.role, r.text, bool(r.excluded), bool(r.is_forwarded)] for r in rows.itertuples()]
-    mark = state.getCurrentWatermarkMs() * 1000
+    mark = state.getCurrentWatermarkMs() * 1000 * SCALE + SCALE - 1
     waiting.sort(key=lambda m: m[:2])
     ready = [m for m in waiting if m[0] <= mark]
     waiting = waiting[len(ready) :]
@@ -48,7 +51,7 @@ def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
         return
     state.update((json.dumps([waiting, group, excluded]),))
     next_us = waiting[0][0] if waiting else group["us"] + extract.GAP_MICROS + 1
-    state.setTimeoutTimestamp(max(next_us, mark) // 1000 + 1)
+    state.setTimeoutTimestamp(max(next_us, mark) // (1000 * SCALE) + 1)
 
 
 def fragments(messages: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
@@ -57,6 +60,8 @@ def fragments(messages: DataFrame, *, lateness: str = "10 minutes") -> DataFrame
     A group is emitted once the watermark, `lateness` behind the newest date, has passed its end by the gap. Messages that come later than that are dropped, as the watermark does; so
     are messages without a date, which have no place in a stream. A dialog without open groups keeps no state.
     """
-    rows = messages.where("date is not null").withWatermark("date", lateness)
-    rows = rows.select("dialog_id", "date", F.col("id").alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"), F.col("excl").isNotNull().alias("excluded"), F.coalesce("is_forwarded", F.lit(False)).alias("is_forwarded"), F.unix_micros("date").alias("us"))
+    us = F.unix_micros("date")
+    rows = messages.where("date is not null").withColumn("clock", F.timestamp_micros(F.call_function("div", us - F.pmod(us, F.lit(SCALE)), F.lit(SCALE))))
+    rows = rows.withWatermark("clock", f"{math.ceil(pd.Timedelta(lateness).total_seconds() * 1000 / SCALE)} milliseconds")
+    rows = rows.select("dialog_id", "clock", F.col("id").alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"), F.col("excl").isNotNull().alias("excluded"), F.coalesce("is_forwarded", F.lit(False)).alias("is_forwarded"), us.alias("us"))
     return rows.groupBy("dialog_id").applyInPandasWithState(_step, OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout)

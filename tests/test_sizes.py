@@ -1,8 +1,12 @@
 """What only tables larger than the others here show."""
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
+from dialoom import catalogue
 from dialoom.operators import style
+from dialoom.streaming import review as review_stream
 
 
 def test_batches_number_every_row_once_whatever_the_tasks(spark):
@@ -19,3 +23,13 @@ def test_batches_number_every_row_once_whatever_the_tasks(spark):
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
         spark.catalog.clearCache()
     assert sorted(got) == [(i, i // 50 + 1) for i in range(20_000)]
+
+
+def test_fragments_of_any_date_leave_the_stream(spark, tmp_path):
+    """Dates beyond 2096, and beyond 2262, where times of pandas end."""
+    rows = [(c, t, r, f"text {c} {t}\nmore") for c in (6, 30_000, 100_002) for t, r in enumerate(("user", "assistant", "user"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r.dialog_id, r.role, r.text, r.ids, r.is_forwarded) for r in catalogue.QUERIES["stream_fragments"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(db.execute(catalogue.SQL["stream_fragments"]).fetchall()) and {r[0] for r in got} == {6, 30_000, 100_002}
