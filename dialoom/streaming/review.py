@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from dialoom.functions import text as T
 from dialoom.operators import feedback, review
 
+#: Rows that are given back at once.
+PART = 10_000
 _STATE = "kind string, reply_id long, expires long"
 
 
@@ -22,9 +24,11 @@ def _review(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
         return
     kind, open_id, expires = state.get if state.exists else (None, None, 0)
     names = [c.split()[0] for c in review.OUTCOMES.split(", ")]
-    for rows in parts:
+    # A user's rows may come in several parts, in no order: they are sorted as a whole.
+    rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: (r.us, r.event_id))
+    for k in range(0, len(rows), PART):
         out = []
-        for r in rows.sort_values(["us", "event_id"]).itertuples():
+        for r in rows[k : k + PART]:
             known, action = bool(r.known), r.action
             if not r.is_text and not known:
                 action = "unknown"
@@ -80,9 +84,10 @@ _TRIED = "reply_id long, seq long, outcome string, attempt long, notification_er
 
 def _notify(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     done, attempt = state.get if state.exists else (False, -1)
-    for rows in parts:
+    rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.seq)
+    for k in range(0, len(rows), PART):
         out = []
-        for r in rows.sort_values("seq").itertuples():
+        for r in rows[k : k + PART]:
             attempt = max(attempt, int(r.before))
             if done or not r.claimable or attempt >= feedback.MAX_ATTEMPTS:
                 outcome = "refused"

@@ -33,3 +33,31 @@ def test_fragments_of_any_date_leave_the_stream(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == sorted(db.execute(catalogue.SQL["stream_fragments"]).fetchall()) and {r[0] for r in got} == {6, 30_000, 100_002}
+
+
+class _State:
+    """What a stateful function sees of its state."""
+
+    exists, hasTimedOut, value = False, False, None
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, ms):
+        pass
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_a_stream_sorts_rows_that_come_in_parts():
+    event = lambda n, action, bare: {"us": n, "event_id": n, "action": action, "reply_id": 5 if action == "fix" else None, "value": None, "bare": bare, "is_text": action == "text", "known": True}
+    parts = [pd.DataFrame([event(2, "text", "so")]), pd.DataFrame([event(1, "fix", "")])]
+    got = pd.concat(review_stream._review((7,), iter(parts), _State()))
+    assert list(got.outcome) == ["opened", "saved"] and list(got.event_id) == [1, 2]
+    tries = [pd.DataFrame([{"seq": s, "before": 0, "claimable": True, "category": c}]) for s, c in ((2, "network"), (1, None))]
+    got = pd.concat(review_stream._notify((7,), iter(tries), _State()))
+    assert list(got.outcome) == ["sent", "refused"] and list(got.seq) == [1, 2]
