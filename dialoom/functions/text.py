@@ -99,14 +99,22 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: Characters that are composed, combine with none before them and have no order among marks: a text of these alone is in composed form.
+COMPOSED = r"\x00-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u202f-\u205e\u20a0-\u20bf\u3000-\u3029\u3041-\u3096\u309b-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef\x{1f000}-\x{1faff}"
+
+
+def _composed(text: Column) -> Column:
+    return ~text.rlike(f"[^{COMPOSED}]")
+
+
 @F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
-    """Composed form; Spark has no such function, so that this one is in Python, over Arrow batches."""
-    return _nfc(text)
+    """Composed form; Spark has no such function, so that this one is in Python, over Arrow batches. Only texts that may change go there."""
+    return F.coalesce(_nfc(F.when(~_composed(text), text)), text)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -117,7 +125,7 @@ def _nfc_all(texts: pd.Series) -> pd.Series:
 
 def nfc_all(texts: Column) -> Column:
     """nfc of each text of an array."""
-    return _nfc_all(texts)
+    return F.coalesce(_nfc_all(F.when(F.exists(texts, lambda t: ~_composed(t)), texts)), texts)
 
 
 def canonical(text: Column) -> Column:

@@ -1,10 +1,15 @@
 """What only tables larger than the others here show."""
 
+import re
+import sys
+import unicodedata
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from dialoom import catalogue
+from dialoom.functions import text as T
 from dialoom.operators import style
 from dialoom.streaming import review as review_stream
 
@@ -61,3 +66,30 @@ def test_a_stream_sorts_rows_that_come_in_parts():
     tries = [pd.DataFrame([{"seq": s, "before": 0, "claimable": True, "category": c}]) for s, c in ((2, "network"), (1, None))]
     got = pd.concat(review_stream._notify((7,), iter(tries), _State()))
     assert list(got.outcome) == ["sent", "refused"] and list(got.seq) == [1, 2]
+
+
+def test_only_texts_that_may_change_are_composed_in_python(spark):
+    """What COMPOSED holds never changes in composition: each is composed, no mark, and never the second of a pair."""
+    plain = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), T.COMPOSED) + "]")
+    second = {ord(d[1]) for d in ([chr(int(x, 16)) for x in unicodedata.decomposition(chr(c)).split()] for c in range(sys.maxunicode) if unicodedata.decomposition(chr(c))[:1] not in ("", "<")) if len(d) == 2}
+    held = [c for c in range(sys.maxunicode) if plain.match(chr(c))]
+    assert len(held) > 30_000 and all(unicodedata.normalize("NFC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) for c in held) and not second & set(held)
+    texts = ["plain", "e\u0301a", "\u0439 \u4e2d\U0001f600", "\uac00\u11a8", "\u212b", "", None, "\u0438\u0306"]
+    df = spark.createDataFrame([(i, t, [t, "a\u0300"]) for i, t in enumerate(texts)], "i int, t string, ts array<string>")
+    nfc = lambda t: t and unicodedata.normalize("NFC", t)
+    got = df.orderBy("i").select(T.nfc(F.col("t")), T.nfc_all(F.col("ts"))).collect()
+    assert [(a or None, b) for a, b in got] == [(nfc(t) or None, [nfc(t), "\u00e0"]) for t in texts]
+    seen = spark.sparkContext.accumulator(0)
+    real = T._nfc
+
+    @F.pandas_udf("string")
+    def counted(s):
+        seen.add(int(s.notna().sum()))
+        return s
+
+    T._nfc = counted
+    try:
+        df.select(T.nfc(F.col("t"))).collect()
+    finally:
+        T._nfc = real
+    assert seen.value == 4
