@@ -145,11 +145,23 @@ def iso(ts: Column) -> Column:
 CATEGORIES = ("too_formal", "too_informal", "too_long", "too_short", "wrong_tone", "wrong_facts", "invented_information", "missed_context", "bad_emoji", "unnatural_phrase", "should_not_reply", "other")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_command(text: Column) -> Column:
     """struct(name, reply_id, category, comment, correction, error) of a review command; error is null where it is well formed."""
-    bare = strip(text)
+    # Each step is computed once: as plain columns, the patterns would run anew for every field and branch.
+    return _let(strip(text), _parts)
+
+
+def _parts(bare: Column) -> Column:
     part = lambda k: F.regexp_extract(bare, f"^({NOT_WS}+)(?:{WS}+({NOT_WS}+))?(?:{WS}+([\\s\\S]+))?$", k)
-    name, number, rest = F.lower(part(1)), part(2), part(3)
+    return _let(F.struct(F.lower(part(1)).alias("name"), part(2).alias("number"), part(3).alias("rest")), lambda p: _command(bare, p["name"], p["number"], p["rest"]))
+
+
+def _command(bare: Column, name: Column, number: Column, rest: Column) -> Column:
     reply = F.when(number.rlike(r"^\+?\p{Nd}+$"), number.try_cast("long"))
     first = F.substring_index(rest, " ", 1)
     known = first.isin(*CATEGORIES)

@@ -93,3 +93,10 @@ def test_only_texts_that_may_change_are_composed_in_python(spark):
     finally:
         T._nfc = real
     assert seen.value == 4
+
+
+def test_a_command_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("/bad 1 too_long  so",), (None,)], "t string").select(T.parse_command(F.col("t")).alias("c"))
+    plan = df.select("c.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 3
+    assert [tuple(r.c) for r in df.collect()] == [("bad", 1, "too_long", "so", None, None), (None, None, None, None, None, "reply_id_not_positive")]
