@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,12 @@ def bound(current: DataFrame, templates: DataFrame, hashes: DataFrame) -> DataFr
 
 
 def summary(current: DataFrame, cached: DataFrame, known: DataFrame, **facts) -> DataFrame:
-    """One row: sources by change, by type and by polarity, contents, and the facts of the build (names to literals)."""
+    """One row: sources by change, by type and by polarity, contents, and the facts of the build (names to literals).
+
+    The columns of the sources that count stay on the executors' disks until the session's cache is cleared.
+    """
+    # Read by every part below, and dear where it is a scan.
+    current = current.select("source_key", "content_hash", "polarity", "source_type", "seq").persist(StorageLevel.DISK_ONLY)
     plan = style.plan_summary(current, cached, known)
     by = lambda c, v: F.count_if(F.col(c) == v)
     kinds = current.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dialoom import catalogue
 from dialoom.functions import text as T
-from dialoom.operators import style
+from dialoom.operators import build, style
 from dialoom.streaming import review as review_stream
 
 
@@ -100,3 +100,19 @@ def test_a_command_is_taken_apart_once(spark):
     plan = df.select("c.*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") <= 3
     assert [tuple(r.c) for r in df.collect()] == [("bad", 1, "too_long", "so", None, None), (None, None, None, None, None, "reply_id_not_positive")]
+
+
+def test_a_summary_reads_its_sources_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        read.add(1)
+        return k
+
+    rows = spark.createDataFrame([(f"k{i}", f"h{i}", "positive", "human", i) for i in range(5)], "source_key string, content_hash string, polarity string, source_type string, n long")
+    none = spark.createDataFrame([], "source_key string, content_hash string")
+    current = rows.withColumn("seq", counted("n")).withColumn("source_key", F.concat("source_key", F.col("seq").cast("string")))
+    got = build.summary(current, none, none.select("content_hash")).first()
+    spark.catalog.clearCache()
+    assert (got.total, got.to_analyze, got.example_bank_count) == (5, 5, 5) and read.value == 5
