@@ -1,9 +1,11 @@
 """TF-IDF retrieval with boosts, for many queries over one corpus, without a cross join.
 
+All candidates count for the frequencies of words. But a cosine is at most 1 and the boosts of a query are bounded, so that a candidate far enough below the
+k that are best by what is their own (source, polarity, age) is among the best of no query: only the others are weighed and scored.
+
 The cosine needs only pairs that share a token: an equi-join on tokens. As nearly all texts share some common word, those are most pairs of a query and
 a candidate; they are scored where the candidate lies and only the best k of a task move on. A candidate that shares none scores by its boosts,
-which depend on its contact, its profanity flag and its intent alone, and by what is its own (source, polarity, age). So the best
-of each such class stand for the rest of it.
+which depend on its contact, its profanity flag and its intent alone, and by what is its own. So the best of each such class stand for the rest of it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from .clean import keep_first, union_ordered
 
 #: Words of queries that may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: What a query adds to a candidate of its contact, of its profanity flag, of its intent.
+CONTACT, RUDE, INTENT = 1.5, 0.5, 0.75
+#: More than any query adds to what is a candidate's own: a cosine of 1 and all boosts, and something for rounding.
+REACH = 1 + CONTACT + RUDE + INTENT + 1e-6
 
 
 def recency(created_at: Column, as_of: Column) -> Column:
@@ -47,20 +53,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     """(query_id, rank, example_id, score) of the k best candidates of each query; k <= 0 gives none.
 
     queries: (query_id, text, contact_id); candidates: (seq, example_id, contact_id, incoming_text, response_text, source_type, polarity, created_at).
-    Ties go to fixes, then to the greater created_at, the greater example_id, the lesser seq. Candidates and the words of queries stay on the executors' disks until the
-    session's cache is cleared; a lost block is computed again.
+    Ties go to fixes, then to the greater created_at, the greater example_id, the lesser seq. Candidates, the frequencies of words and the words of queries stay on the executors' disks
+    until the session's cache is cleared; a lost block is computed again.
     """
     own = F.when(F.col("source_type") == "fix", 5.0).when(F.col("source_type") == "human", 1.0).otherwise(0.0) + F.when(F.col("polarity") == "negative", 0.25).otherwise(0.0)
     # Read by every part below; a lost block is computed again. Rows of a candidate stay in one task from here on.
     docs = dedup(candidates).select(
-        "seq", "example_id", "contact_id", (F.col("source_type") == "fix").alias("fix"), "created_at", (own + recency(F.col("created_at"), as_of)).alias("own"),
-        T.has_profanity(F.col("incoming_text")).alias("rude"), T.intent(F.col("incoming_text")).alias("intent"), T.tokens(F.col("incoming_text")).alias("tokens"),
+        "seq", "example_id", "contact_id", (F.col("source_type") == "fix").alias("fix"), "created_at", (own + recency(F.col("created_at"), as_of)).alias("own"), "incoming_text",
     ).repartition("seq").persist(StorageLevel.DISK_ONLY)
     q = queries.select("query_id", F.col("contact_id").alias("q_contact"), T.has_profanity(F.col("text")).alias("q_rude"), T.intent(F.col("text")).alias("q_intent"), T.tokens(F.col("text")).alias("tokens"))
-    n_docs = docs.count()
-    tf = docs.select("seq", F.explode("tokens").alias("token")).groupBy("seq", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    n_docs, n_seqs = docs.groupBy("seq").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    # Rows that repeat a seq share their words.
+    texts = docs.select("seq", "incoming_text") if n_docs == n_seqs else docs.groupBy("seq").agg(F.array_join(F.collect_list("incoming_text"), " ").alias("incoming_text"))
+    df = texts.select(F.explode(F.array_distinct(T.tokens(F.col("incoming_text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).persist(StorageLevel.DISK_ONLY)
     idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    best = [r.own for r in docs.select("own").orderBy(F.desc("own")).limit(max(k, 0)).collect()]
+    near = docs.where(F.col("own") >= best[-1] - REACH) if len(best) == k > 0 else docs
+    weighty = near.select("seq", "incoming_text") if n_docs == n_seqs else texts.join(near.select("seq").distinct(), "seq", "left_semi")
+    tf = weighty.select("seq", F.explode(T.tokens(F.col("incoming_text"))).alias("token")).groupBy("seq", "token").agg(F.count("*").alias("tf"))
     weighed = tf.join(df, "token").select("seq", "token", (F.col("tf") * idf).alias("w"))
     w_norm = weighed.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
     q_tf = q.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("tf"))
@@ -71,7 +81,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     small = F.broadcast if q_w.count() <= BROADCAST_ROWS else (lambda d: d)
     dots = tf.join(small(shared), "token").groupBy("seq", "query_id").agg(F.sum(F.col("tf") * F.col("qi")).alias("dot"))
     met = dots.join(w_norm, "seq").join(small(q_norm), "query_id").select("query_id", "seq", (F.col("dot") / (F.col("w_norm") * F.col("qw_norm"))).alias("cosine"))
-    body = docs.drop("tokens")
+    body = near.select("seq", "example_id", "contact_id", "fix", "created_at", "own", T.has_profanity(F.col("incoming_text")).alias("rude"), T.intent(F.col("incoming_text")).alias("intent")).persist(StorageLevel.DISK_ONLY)
     order = [F.desc("own"), F.desc("fix"), F.desc("created_at"), F.desc("example_id"), F.asc("seq")]
     lead = lambda *by: body.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__at") <= k).drop("__at")
     whole, mine = lead("rude", "intent"), lead("contact_id", "rude", "intent")
@@ -80,7 +90,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     sides = head.crossJoin(F.broadcast(whole)).select("query_id", "seq").unionByName(head.join(mine, F.col("q_contact") == F.col("contact_id")).select("query_id", "seq"))
     pairs = met.unionByName(sides.select("query_id", "seq").withColumn("cosine", F.lit(0.0))).groupBy("seq", "query_id").agg(F.max("cosine").alias("cosine"))
     full = pairs.join(body, "seq").join(small(head), "query_id")
-    score = F.col("cosine") + F.col("own") + F.when(F.col("contact_id") == F.col("q_contact"), 1.5).otherwise(0.0) + F.when(F.col("rude") == F.col("q_rude"), 0.5).otherwise(0.0) + F.when(F.col("intent") == F.col("q_intent"), 0.75).otherwise(0.0)
+    score = F.col("cosine") + F.col("own") + F.when(F.col("contact_id") == F.col("q_contact"), CONTACT).otherwise(0.0) + F.when(F.col("rude") == F.col("q_rude"), RUDE).otherwise(0.0) + F.when(F.col("intent") == F.col("q_intent"), INTENT).otherwise(0.0)
     # Sums of floats vary in their last bits with the order of rows: ranks go by nine digits.
     ranked = full.withColumn("score", F.round(score, 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fix"), F.desc("created_at"), F.desc("example_id"), F.asc("seq"))

@@ -1,5 +1,8 @@
 """What only tables larger than the others here show."""
 
+import datetime as dt
+import math
+import random
 import re
 import sys
 import unicodedata
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dialoom import catalogue
 from dialoom.functions import text as T
-from dialoom.operators import build, style
+from dialoom.operators import build, retrieve, style
 from dialoom.streaming import review as review_stream
 
 
@@ -116,3 +119,80 @@ def test_a_summary_reads_its_sources_once(spark):
     got = build.summary(current, none, none.select("content_hash")).first()
     spark.catalog.clearCache()
     assert (got.total, got.to_analyze, got.example_bank_count) == (5, 5, 5) and read.value == 5
+
+
+CANDIDATES = "seq long, example_id string, contact_id long, incoming_text string, response_text string, source_type string, polarity string, created_at string"
+QUERIES = "query_id long, text string, contact_id long"
+NOW = dt.datetime(2024, 3, 1)
+
+
+def test_only_candidates_within_reach_are_weighed(spark, monkeypatch):
+    rows = [(i, f"e{i}", i % 3, f"word w{i}", "r", "fix" if i < 4 else "human", "positive", "") for i in range(200)]
+    c, q = spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame([(1, "word w150", 0)], QUERIES)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return "general"
+
+    monkeypatch.setattr(T, "intent", lambda text: counted(text))
+    got = sorted((r.rank, r.example_id) for r in retrieve.top_k(q, c, as_of=F.lit(NOW), k=3).collect())
+    spark.catalog.clearCache()
+    assert [e for _, e in got] == ["e3", "e0", "e2"] and seen.value < 50
+
+
+def _brute(queries, rows, k):
+    """top_k in Python, over ASCII texts."""
+    first, toks = {}, lambda t: re.findall(r"[\w']+", (t or "").lower())
+    for r in sorted(rows, key=lambda r: r[0]):
+        if r[6] != "evaluation":
+            first.setdefault(tuple(None if t is None else " ".join(t.lower().split()) for t in r[3:5]) + (r[6],), r)
+    docs, words = list(first.values()), {}
+    for r in docs:
+        words.setdefault(r[0], []).extend(toks(r[3]))
+    df = {}
+    for ws in words.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    weights = lambda ws: {w: ws.count(w) * (math.log((len(docs) + 1) / (df.get(w, 0) + 1)) + 1) for w in ws}
+    rude = lambda t: None if t is None else any(m in t.lower() for m in T.PROFANITY)
+    intent = lambda t: next((n for n, ws in T.INTENTS if set(ws) & set(toks(t))), "aggressive_or_teasing" if rude(t) else "question" if "?" in (t or "") else "business" if set(T.BUSINESS) & set(toks(t)) else "general")
+    norm = lambda ws: math.sqrt(sum(x * x for x in ws.values()))
+    out = []
+    for qid, text, contact in queries:
+        a, ranked = weights(toks(text)), []
+        for s, e, c, t, _, kind, polarity, at in docs:
+            b = weights(words[s])
+            score = sum(x * b[w] for w, x in a.items() if w in b) / (norm(a) * norm(b)) if a and b else 0
+            score += {"fix": 5, "human": 1}.get(kind, 0) + 0.25 * (polarity == "negative") + (0.25 / (1 + (NOW - dt.datetime.fromisoformat(at)).days / 30) if at else 0)
+            score += 1.5 * (contact is not None and c == contact) + 0.5 * (rude(t) is not None and rude(t) == rude(text)) + 0.75 * (intent(t) == intent(text))
+            ranked.append((round(score, 9), kind == "fix", at, e, -s))
+        out += [(qid, n, r[3], round(r[0], 6)) for n, r in enumerate(sorted(ranked, reverse=True)[:k], 1)]
+    return sorted(out)
+
+
+def test_retrieval_against_brute_force(spark):
+    """Few and many fixes, so that reach leaves much or little; texts without words and null, seqs that occur twice, contacts that are null."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "hello", "no", "fuck", "contract", "when?", "it's", "  "]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    queries = [(i, text(6), rng.choice([None, 0, 1, 2])) for i in range(12)]
+    for kinds in ("fix rejected approved_ai human", "fix" + " human rejected" * 30, "human rejected"):
+        rows = []
+        for i in range(150):
+            kind = rng.choice(kinds.split())
+            rows.append((i - i % 25 // 24, f"e{i}", rng.choice([None, 0, 1, 2]), None if i % 40 == 7 else text(9), rng.choice("xy"), kind, {"rejected": "negative", "approved_ai": "evaluation"}.get(kind, "positive"), "" if i % 5 == 0 else f"2024-01-{i % 19 + 10}"))
+        for k in (0, 3, 200):
+            got = sorted(tuple(r) for r in retrieve.top_k(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CANDIDATES), as_of=F.lit(NOW), k=k).collect())
+            spark.catalog.clearCache()
+            want = _brute(queries, rows, k)
+            assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_blanks_collapse_and_words_of_an_intent_are_found_once(spark):
+    every = "".join(f"{chr(c)}a{chr(c)}{chr(c)}" for c in range(0x3010) if not 0xD800 <= c < 0xE000)
+    df = spark.createDataFrame([(t,) for t in (every, " a \n\t b  c ", "\u3000", "", None, "no\u00a0 \U0001f600")], "t string")
+    assert df.where(~T.collapse(F.col("t")).eqNullSafe(T.strip(F.regexp_replace("t", f"{T.WS}+", " ")))).count() == 0
+    plan = df.select(T.intent(F.col("t")).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
