@@ -311,7 +311,7 @@ ev AS (SELECT query_id, len(f.outs)::BIGINT AS n_blocks, f.used::BIGINT AS used,
 
 def _evidence(spark, d):
     top, cand = _retrieved(spark, d)
-    return top.join(cand.drop("seq"), "example_id")
+    return retrieve.evidence(top, cand)
 
 
 @query(_PACKED + " SELECT query_id, n_blocks, used, evidence FROM ev")

@@ -95,3 +95,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     ranked = full.withColumn("score", F.round(score, 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fix"), F.desc("created_at"), F.desc("example_id"), F.asc("seq"))
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "example_id", F.round("score", 6).alias("score"))
+
+
+def evidence(top: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The columns of the candidates that top_k chose, beside (query_id, rank, score). Kept on the executors' disks, as the ranks are, until the session's cache is cleared: whatever
+    reads it, the ranking is done once. Ranks go to where the candidates lie if they are few, so that only chosen texts move."""
+    top = top.persist(StorageLevel.DISK_ONLY)
+    small = F.broadcast if top.count() <= BROADCAST_ROWS else (lambda d: d)
+    return small(top).join(candidates.drop("seq"), "example_id").persist(StorageLevel.DISK_ONLY)

@@ -196,3 +196,25 @@ def test_blanks_collapse_and_words_of_an_intent_are_found_once(spark):
     assert df.where(~T.collapse(F.col("t")).eqNullSafe(T.strip(F.regexp_replace("t", f"{T.WS}+", " ")))).count() == 0
     plan = df.select(T.intent(F.col("t")).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_evidence_is_ranked_once_and_only_chosen_texts_move(spark, monkeypatch):
+    top = spark.createDataFrame([(i, 1, f"doc-{i}", 1.0) for i in range(1, 9)], "query_id long, rank int, example_id string, score double")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    monkeypatch.setattr(retrieve, "top_k", lambda *a, **k: top.withColumn("score", counted("score")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = catalogue.composed_prompt(spark, "/root/testdata/sf0.001").collect()
+        ranked = read.value
+        plan = catalogue._evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.catalog.clearCache()
+    assert sum(r.selected_count for r in rows) > 0 and ranked == 8 and "SortMergeJoin" not in plan
