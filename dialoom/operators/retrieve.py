@@ -3,6 +3,9 @@
 All candidates count for the frequencies of words. But a cosine is at most 1 and the boosts of a query are bounded, so that a candidate far enough below the
 k that are best by what is their own (source, polarity, age) is among the best of no query: only the others are weighed and scored.
 
+Texts stay where they are read: candidates are told apart by hashes of their texts, and read again for the words, without those that repeat others. If few are within reach,
+only words of theirs and of the queries are counted: no other word's frequency is used.
+
 The cosine needs only pairs that share a token: an equi-join on tokens. As nearly all texts share some common word, those are most pairs of a query and
 a candidate; they are scored where the candidate lies and only the best k of a task move on. A candidate that shares none scores by its boosts,
 which depend on its contact, its profanity flag and its intent alone, and by what is its own. So the best of each such class stand for the rest of it.
@@ -10,9 +13,12 @@ which depend on its contact, its profanity flag and its intent alone, and by wha
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from dialoom.functions import text as T
 
@@ -21,6 +27,8 @@ from .clean import keep_first, union_ordered
 
 #: Words of queries that may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Candidates, or words, that may go to all tasks, and different words that a task counts before it hands them on.
+FEW = 500_000
 #: What a query adds to a candidate of its contact, of its profanity flag, of its intent.
 CONTACT, RUDE, INTENT = 1.5, 0.5, 0.75
 #: More than any query adds to what is a candidate's own: a cosine of 1 and all boosts, and something for rounding.
@@ -34,11 +42,69 @@ def recency(created_at: Column, as_of: Column) -> Column:
     return F.when(ts.isNull(), 0.0).otherwise(F.lit(0.25) / (1 + days / 30))  # greatest() passes over nulls
 
 
+@F.udf(BinaryType(), useArrow=True)
+def _digest(text):
+    import hashlib
+
+    # str.split knows the same blanks as T.BLANKS.
+    return None if text is None else hashlib.sha256(" ".join(text.split()).encode()).digest()
+
+
+def _evaluable(candidates: DataFrame) -> DataFrame:
+    return candidates.where(F.col("polarity").isin("positive", "negative"))
+
+
+#: What tells texts of candidates apart, case and white space aside.
+_KEYS = ("__incoming", "__response", "polarity")
+
+
+def _keyed(some: DataFrame) -> DataFrame:
+    return some.withColumns({"__incoming": _digest(F.lower("incoming_text")), "__response": _digest(F.lower("response_text"))})
+
+
 def dedup(candidates: DataFrame) -> DataFrame:
     """Evaluable candidates, the first of each (incoming, response, polarity) by seq, case and white space aside."""
-    some = candidates.where(F.col("polarity").isin("positive", "negative"))
-    keys = [F.sha2(T.collapse(F.lower("incoming_text")), 256), F.sha2(T.collapse(F.lower("response_text")), 256), F.col("polarity")]
-    return keep_first(some, keys, [F.col("seq")])
+    return keep_first(_keyed(_evaluable(candidates)), list(_KEYS), [F.col("seq")]).drop("__incoming", "__response")
+
+
+#: Signs of Latin-1 by number: those of words in lower case, a blank for any other.
+_LATIN = bytes(ord(c.lower()) if c.isalnum() or c in "_'" else 32 for c in map(chr, range(256)))
+
+
+def frequencies(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(token, df): in how many rows of incoming_text each word occurs; of the words in `only`, if it is given.
+
+    Texts in Latin-1 are taken apart in Python, by a table; others come back whole, for the pattern of T.tokens.
+    """
+    table, most, wanted = _LATIN, FEW, None if only is None else frozenset(only)
+
+    def count(batches):
+        import pyarrow as pa
+
+        out = lambda found, other: pa.RecordBatch.from_arrays([pa.array([*found, *[None] * len(other)], pa.string()), pa.array([*found.values(), *[0] * len(other)], pa.int64()), pa.array([*[None] * len(found), *other], pa.string())], ["token", "n", "other"])
+        found = Counter()
+        for batch in batches:
+            other = []
+            for t in batch.column(0):
+                if (t := t.as_py()) is None:
+                    continue
+                try:
+                    words = t.encode("latin-1").translate(table).decode("latin-1").split()
+                except UnicodeEncodeError:
+                    other.append(t)
+                else:
+                    found.update(set(words) if wanted is None else wanted.intersection(words))
+                if len(found) > most:
+                    yield out(found, [])
+                    found = Counter()
+            if other:
+                yield out({}, other)
+        yield out(found, [])
+
+    got = texts.select("incoming_text").mapInArrow(count, "token string, n long, other string")
+    words = F.array_distinct(T.tokens(F.col("other")))
+    each = F.when(F.col("other").isNull(), F.array(F.struct("token", "n"))).otherwise(F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("n"))))
+    return got.select(F.inline(each)).groupBy("token").agg(F.sum("n").alias("df"))
 
 
 def runtime_candidates(feedback: DataFrame, bank: DataFrame) -> DataFrame:
@@ -57,19 +123,39 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     until the session's cache is cleared; a lost block is computed again.
     """
     own = F.when(F.col("source_type") == "fix", 5.0).when(F.col("source_type") == "human", 1.0).otherwise(0.0) + F.when(F.col("polarity") == "negative", 0.25).otherwise(0.0)
-    # Read by every part below; a lost block is computed again. Rows of a candidate stay in one task from here on.
-    docs = dedup(candidates).select(
-        "seq", "example_id", "contact_id", (F.col("source_type") == "fix").alias("fix"), "created_at", (own + recency(F.col("created_at"), as_of)).alias("own"), "incoming_text",
-    ).repartition("seq").persist(StorageLevel.DISK_ONLY)
+    own = own + recency(F.col("created_at"), as_of)
+    some = _evaluable(candidates)
+    # Read by every part below, without texts; a lost block is computed again.
+    own_columns = ["seq", "example_id", "contact_id", (F.col("source_type") == "fix").alias("fix"), "created_at", own.alias("own")]
+    rows = _keyed(some).select(*own_columns, *_KEYS).persist(StorageLevel.DISK_ONLY)
+    n_rows, n_seqs = rows.groupBy("seq").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("seq")).first()
+    single = n_rows == n_seqs
+    # Rows that repeat a seq share their words; their texts can't be found by it, and stay with them.
+    docs = (keep_first(rows, list(_KEYS), [F.col("seq")]).drop(*_KEYS) if single else dedup(candidates).select(*own_columns, "incoming_text")).persist(StorageLevel.DISK_ONLY)
+    n_docs = docs.count()
+    few = lambda d, n: F.broadcast(d) if n <= FEW else d
+    if single:
+        texts = some.select("seq", "incoming_text").join(few(rows.select("seq").join(docs.select("seq"), "seq", "left_anti"), n_rows - n_docs), "seq", "left_anti")
+    else:
+        texts = docs.groupBy("seq").agg(F.array_join(F.collect_list("incoming_text"), " ").alias("incoming_text"))
     q = queries.select("query_id", F.col("contact_id").alias("q_contact"), T.has_profanity(F.col("text")).alias("q_rude"), T.intent(F.col("text")).alias("q_intent"), T.tokens(F.col("text")).alias("tokens"))
-    n_docs, n_seqs = docs.groupBy("seq").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    # Rows that repeat a seq share their words.
-    texts = docs.select("seq", "incoming_text") if n_docs == n_seqs else docs.groupBy("seq").agg(F.array_join(F.collect_list("incoming_text"), " ").alias("incoming_text"))
-    df = texts.select(F.explode(F.array_distinct(T.tokens(F.col("incoming_text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).persist(StorageLevel.DISK_ONLY)
-    idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     best = [r.own for r in docs.select("own").orderBy(F.desc("own")).limit(max(k, 0)).collect()]
-    near = docs.where(F.col("own") >= best[-1] - REACH) if len(best) == k > 0 else docs
-    weighty = near.select("seq", "incoming_text") if n_docs == n_seqs else texts.join(near.select("seq").distinct(), "seq", "left_semi")
+    reach = best[-1] - REACH if len(best) == k > 0 else None
+    near = docs if reach is None else docs.where(F.col("own") >= reach)
+    n_near = near.count()
+    if single:
+        # Only sources that have candidates within reach are read.
+        read = some if reach is None else some.where(own >= reach - 1e-6)
+        near = read.select("seq", "incoming_text").join(few(near, n_near), "seq")
+    # Rows of a candidate stay in one task from here on.
+    near = near.withColumns({"rude": T.has_profanity(F.col("incoming_text")), "intent": T.intent(F.col("incoming_text"))}).repartition("seq").persist(StorageLevel.DISK_ONLY)
+    weighty = near.select("seq", "incoming_text") if single else texts.join(near.select("seq").distinct(), "seq", "left_semi")
+    only = None
+    if n_near * 8 <= n_docs:
+        used = weighty.select(F.explode(T.tokens(F.col("incoming_text"))).alias("token")).union(q.select(F.explode("tokens"))).distinct().limit(FEW + 1).collect()
+        only = [r.token for r in used] if len(used) <= FEW else None
+    df = frequencies(texts, only).persist(StorageLevel.DISK_ONLY)
+    idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     tf = weighty.select("seq", F.explode(T.tokens(F.col("incoming_text"))).alias("token")).groupBy("seq", "token").agg(F.count("*").alias("tf"))
     weighed = tf.join(df, "token").select("seq", "token", (F.col("tf") * idf).alias("w"))
     w_norm = weighed.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
@@ -81,7 +167,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, as_of: Column, k: int =
     small = F.broadcast if q_w.count() <= BROADCAST_ROWS else (lambda d: d)
     dots = tf.join(small(shared), "token").groupBy("seq", "query_id").agg(F.sum(F.col("tf") * F.col("qi")).alias("dot"))
     met = dots.join(w_norm, "seq").join(small(q_norm), "query_id").select("query_id", "seq", (F.col("dot") / (F.col("w_norm") * F.col("qw_norm"))).alias("cosine"))
-    body = near.select("seq", "example_id", "contact_id", "fix", "created_at", "own", T.has_profanity(F.col("incoming_text")).alias("rude"), T.intent(F.col("incoming_text")).alias("intent")).persist(StorageLevel.DISK_ONLY)
+    body = near.drop("incoming_text")
     order = [F.desc("own"), F.desc("fix"), F.desc("created_at"), F.desc("example_id"), F.asc("seq")]
     lead = lambda *by: body.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__at") <= k).drop("__at")
     whole, mine = lead("rude", "intent"), lead("contact_id", "rude", "intent")

@@ -190,6 +190,50 @@ def test_retrieval_against_brute_force(spark):
             assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
 
 
+def test_retrieval_by_ids_that_are_single(spark, monkeypatch):
+    """Texts are read again by id: with few rows within reach and many, with all that is few broadcast and nothing, with words beyond Latin-1."""
+    rng = random.Random(6)
+    words = ["alpha", "Beta", "gamma", "hello", "fuck", "when?", "it's", "\u041f\u0440\u0438\u0432\u0435\u0442", "\u0153uvre", "na\u00efve", "\u00c9T\u00c9", "\u03b1\u03a3", "5\u00bd", " \t"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    queries = [(i, text(6), rng.choice([None, 0, 1, 2])) for i in range(8)]
+    for kinds, few in (("fix" + " human rejected" * 30, 500_000), ("fix" + " human rejected" * 30, 1), ("human rejected approved_ai", 1)):
+        monkeypatch.setattr(retrieve, "FEW", few)
+        rows = []
+        for i in range(200):
+            kind = rng.choice(kinds.split())
+            rows.append((i, f"e{i}", rng.choice([None, 0, 1, 2]), None if i % 40 == 7 else text(5), rng.choice("xy"), kind, {"rejected": "negative", "approved_ai": "evaluation"}.get(kind, "positive"), "" if i % 5 == 0 else f"2024-01-{i % 19 + 10}"))
+        got = sorted(tuple(r) for r in retrieve.top_k(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, CANDIDATES), as_of=F.lit(NOW), k=3).collect())
+        spark.catalog.clearCache()
+        want = _brute(queries, rows, 3)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_texts_stay_and_only_words_that_are_used_are_counted(spark, monkeypatch):
+    rows = [(i, f"e{i}", i % 3, f"word w{i}" if i < 180 else "WORD  w1", "r", "fix" if i < 4 else "human", "positive", "") for i in range(200)]
+    c, q = spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame([(1, "word w150", 0)], QUERIES)
+    real, seen = retrieve.frequencies, []
+    monkeypatch.setattr(retrieve, "frequencies", lambda texts, only=None: seen.append((texts, only)) or real(texts, only))
+    got = sorted((r.rank, r.example_id) for r in retrieve.top_k(q, c, as_of=F.lit(NOW), k=3).collect())
+    (texts, only), n = seen[0], seen[0][0].count()
+    top = texts._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    counted = {r.token: r.df for r in real(texts, only).collect()}
+    spark.catalog.clearCache()
+    assert [e for _, e in got] == ["e3", "e0", "e2"] and n == 180 and any("LeftAnti" in x and "rightHint=(strategy=broadcast)" in x for x in top)
+    assert counted == {"word": 180, "w0": 1, "w1": 1, "w2": 1, "w3": 1, "w150": 1}
+
+
+def test_words_by_table_and_by_pattern_are_the_same(spark):
+    every = [f"a{chr(i)}B {chr(i)}" for i in range(256)] + [f"a{chr(i)}B {chr(i)}\u20ac" for i in range(0x250)] + ["\u0130x \u03b1\u03a3 5", None, "", " "]
+    texts = spark.createDataFrame([(t,) for t in every], "incoming_text string").repartition(4)
+    want = {r.token: r.n for r in texts.select(F.explode(F.array_distinct(T.tokens(F.col("incoming_text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    assert {r.token: r.df for r in retrieve.frequencies(texts).collect()} == want and len(want) > 500
+    some = sorted(want)[::3]
+    assert {r.token: r.df for r in retrieve.frequencies(texts).join(spark.createDataFrame([(t,) for t in some], "token string"), "token").collect()} == {t: want[t] for t in some}
+    got = {r.token: r.df for r in retrieve.frequencies(texts, some).collect()}
+    assert {t: got[t] for t in some} == {t: want[t] for t in some}
+    assert all(chr(c).isspace() == (chr(c) in T.BLANKS) for c in range(sys.maxunicode))
+
+
 def test_blanks_collapse_and_words_of_an_intent_are_found_once(spark):
     every = "".join(f"{chr(c)}a{chr(c)}{chr(c)}" for c in range(0x3010) if not 0xD800 <= c < 0xE000)
     df = spark.createDataFrame([(t,) for t in (every, " a \n\t b  c ", "\u3000", "", None, "no\u00a0 \U0001f600")], "t string")
